@@ -29,14 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="cantorium-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="cantorium-"))
+        atexit.register(shutil.rmtree, _own_dir[0], True)
+    return _own_dir[0]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
