@@ -26,7 +26,7 @@ def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
+    counts = [secrets.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 

@@ -171,6 +171,10 @@ def all_spans(base: Column, tokens: Column, limits: dict[int, int]) -> Column:
     return F.array_sort(F.concat(base, added.cast(_SPAN)))
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
