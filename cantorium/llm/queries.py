@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantorium.llm import licenses, mixing, packing, secrets, simhash, sql, wavelet
+from cantorium.llm import licenses, mixing, packing, queries_models, secrets, simhash, sql, wavelet
 from cantorium.session import table
 
 
@@ -47,9 +47,12 @@ QUERIES = {
     "op5_secret_randomness": op5_secret_randomness,
     "op7_wavelet_token_files": op7_wavelet_token_files,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
+    **queries_models.QUERIES,
 }
 
 ORACLES: dict[str, str] = {
     "op2_curriculum_mixing": sql.MIXING,
     "op3_license_digests": sql.LICENSES,
+    "op6_flat_graph_dups": sql.VECTOR_DUPLICATES,
+    "op10_pivot_topk": sql.TOP_K,
 }

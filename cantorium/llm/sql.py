@@ -97,5 +97,28 @@ select doc_id, text_digest, licence, coalesce(array_to_string(listed, ','), '')
 from whole left join known on text_digest = known_digest left join listed using (row_id)"""
 
 
+_FINITE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+TOP_K = f"""
+with points as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where vec_id is not null and {_FINITE}),
+pairs as (
+  select q.vec_id as query_id, p.vec_id, list_inner_product(q.v::double[], p.v::double[])::bigint as score
+  from points q join points p on q.vec_id <> p.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 10"""
+
+VECTOR_DUPLICATES = f"""
+with recursive good as (
+  select vec_id, embedding::double[] as e from embeddings
+  where {_FINITE} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links,
+  least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) as kept
+from embeddings"""
+
 MIXING = _mixing()
 LICENSES = _licenses()
