@@ -63,7 +63,7 @@ def lift(group: DataFrame, scope: DataFrame, group_sizes: DataFrame, scope_docs:
     both = group.join(scoped, "token").join(group_sizes, groups).crossJoin(F.broadcast(scope_docs))  # one row: the scope's size
     both = both.withColumn("group_coverage", F.col("docs") / F.col("group_docs")).withColumn("scope_coverage", F.col("scope_hits") / F.col("scope_docs"))
     both = both.withColumn("lift", F.col("group_coverage") / F.col("scope_coverage"))
-    order = Window.partitionBy(*groups).orderBy(F.desc("lift"), F.desc("docs"), F.desc("n"), "token")
+    order = Window.partitionBy(*groups).orderBy(F.desc(F.round("lift", 9)), F.desc("docs"), F.desc("n"), "token")
     ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(*groups, "token", "n", "docs", "group_coverage", "scope_coverage", "lift", "rank")
 

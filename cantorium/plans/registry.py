@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cantorium.plans import descriptive, scores  # noqa: F401  they register themselves
+from cantorium.plans.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
