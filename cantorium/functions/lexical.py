@@ -7,6 +7,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: str | None, b: str | None) -> float:
@@ -64,21 +65,21 @@ def json_array(response: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_overlap(x or "", y or "") for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def set_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([soft_jaccard(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json_array(response: pd.Series) -> pd.Series:
     return response.map(json_array)

@@ -68,7 +68,7 @@ def char_ngrams(text: Column, n: int = 2) -> Column:
 
 def chars(text: Column) -> Column:
     """Distinct characters of a text."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(text, "(?!^)")))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(text, r"(?!^|\z)")))
 
 
 def json_list(cell: Column, synonyms: dict[str, str] | None = None) -> Column:
