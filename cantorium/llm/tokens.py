@@ -9,14 +9,20 @@ ids as little-endian unsigned 32-bit bytes; joining them gives the ids of a docu
 from __future__ import annotations
 
 import codecs
+import re
+import struct
 
 import numpy as np
 
+# The tokenizer's pieces, for lower-case words of printable ASCII.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+_PRINTED = re.compile(rb"[!-~]+").fullmatch
+
 END_ID = 1
 END = np.array([END_ID], "<u4").tobytes()
 TOKENIZER = "word_bpe_49k.json"
 #: Words that one process remembers (about 0.2 KB each); beyond it the memo starts anew.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -57,19 +63,28 @@ class Encoder(dict):
     def _ids(self, word: bytes) -> bytes:
         if b"<|" in word:  # may hold a special token, which the library matches before it normalises
             return self._encode(word)
-        if word.isascii() and (low := word.lower()) != word:  # elsewhere a small letter may join with a following mark
-            return self[low]
-        if len(word) > 1 and word[-1] in b".,;:!?" and word[-2:-1].isalpha():
-            return self[word[:-1]] + self[word[-1:]]
+        if word.isascii():
+            low = word.lower()
+            if low != word:
+                return self[low]
+            if word.isalpha():
+                return self._piece(word)
+            if not _PRINTED(word):
+                return self._encode(word)
+            pieces = _PIECES(word)
+            return b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else self._piece(word)
         text = word.decode("utf-8", "replace")
-        if not text.isalpha():
-            return self._encode(word)
-        if not text.isascii():
+        if text.isalpha():
             text = self._normal.normalize_str(text)
-            if not text.isalpha():
-                return self._encode(word)
-        piece = codecs.charmap_decode(text.encode(), "strict", self._table)[0]
-        return np.array([t.id for t in self._model.tokenize(piece)], "<u4").tobytes()
+            return self._piece(text.encode()) if text.isalpha() else self._encode(word)
+        if text[-1] in ".,;:!?" and text[-2].isalpha() and self._normal.normalize_str(text[-2]).isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        return self._encode(word)
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of one piece of the pre-tokenizer, already normalised."""
+        found = self._model.tokenize(codecs.charmap_decode(piece, "strict", self._table)[0])
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _encode(self, word: bytes) -> bytes:
         ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
