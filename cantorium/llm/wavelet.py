@@ -1,8 +1,9 @@
 """Token ids as wavelet matrices: succinct bit planes that answer access, rank, select and count.
 
 A shard is one compressed file, here the binary payload of one row of a Parquet table, so that Spark's commit protocol
-covers it on any store: a header, the doc_ids and lengths of its documents, and blocks of at most BLOCK ids. A block
-holds a plane of bits for each bit of an id, highest first; each plane orders the ids as the plane before sorts them
+covers it on any store: a header, the doc_ids and lengths of its documents, the shard's own ids in ascending order, and
+blocks of at most BLOCK symbols, the ids' places in that order. A block holds a plane of bits for each bit of a symbol,
+highest first; each plane orders the ids as the plane before sorts them
 by its bit, stably. Ranks are counted from a directory of 512-bit superblocks.
 
 Documents go to shards in ascending order of doc_id (a range partitioning, sorted within partitions), null ids first.
@@ -142,42 +143,60 @@ class Shard:
     """The file of one shard, opened from its bytes."""
 
     def __init__(self, payload: bytes):
-        magic, self.bits, docs, self.n = _HEAD.unpack_from(payload)
+        magic, docs, symbols, self.n = _HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
         body = zstandard.ZstdDecompressor().decompress(payload[_HEAD.size :])
         self.doc_ids = np.frombuffer(body, "<i8", docs)
         self.lengths = np.frombuffer(body, "<i8", docs, 8 * docs)
-        self.blocks, at = [], 16 * docs
+        self.symbols = np.frombuffer(body, "<u4", symbols, 16 * docs)
+        bits = _bits(symbols)
+        self.blocks, at = [], 16 * docs + 4 * symbols
         for first in range(0, self.n, BLOCK):
             n = min(BLOCK, self.n - first)
-            zeros = np.frombuffer(body, "<i8", self.bits, at).tolist()
-            at, planes = at + 8 * self.bits, []
-            for _ in range(self.bits):
+            zeros = np.frombuffer(body, "<i8", bits, at).tolist()
+            at, planes = at + 8 * bits, []
+            for _ in range(bits):
                 planes.append(np.frombuffer(body, np.uint8, -(-n // 8), at))
                 at += -(-n // 8)
-            self.blocks.append(WaveletMatrix(n, self.bits, planes, zeros))
+            self.blocks.append(WaveletMatrix(n, bits, planes, zeros))
 
     @staticmethod
-    def dump(doc_ids: list[int], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
-        parts = [np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes()]
+    def dump(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
+        present = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        present[ids] = True
+        symbols = np.flatnonzero(present)
+        place = np.cumsum(present) - 1
+        codes, bits = place.astype(np.uint16 if len(symbols) <= 1 << 16 else np.uint32)[ids], _bits(len(symbols))
+        parts = [np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), symbols.astype("<u4").tobytes()]
         for first in range(0, len(ids), BLOCK):
-            matrix = WaveletMatrix.build(ids[first : first + BLOCK], bits)
+            matrix = WaveletMatrix.build(codes[first : first + BLOCK], bits)
             parts.append(np.array(matrix.zeros, "<i8").tobytes())
             parts += [p.tobytes() for p in matrix.planes]
-        return _HEAD.pack(MAGIC, bits, len(doc_ids), len(ids)) + zstandard.ZstdCompressor(1).compress(b"".join(parts))
+        return _HEAD.pack(MAGIC, len(doc_ids), len(symbols), len(ids)) + zstandard.ZstdCompressor(1).compress(b"".join(parts))
+
+    def _symbol(self, token: int) -> int | None:
+        at = int(np.searchsorted(self.symbols, token))
+        return at if at < len(self.symbols) and self.symbols[at] == token else None
 
     def access(self, i: int) -> int:
-        return self.blocks[i // BLOCK].access(i % BLOCK)
+        return int(self.symbols[self.blocks[i // BLOCK].access(i % BLOCK)])
 
     def count(self, token: int) -> int:
-        return sum(b.count(token) for b in self.blocks)
+        symbol = self._symbol(token)
+        return 0 if symbol is None else sum(b.count(symbol) for b in self.blocks)
 
     def locate(self, token: int) -> list[int]:
-        return [k * BLOCK + at for k, b in enumerate(self.blocks) for at in b.locate(token)]
+        symbol = self._symbol(token)
+        return [] if symbol is None else [k * BLOCK + at for k, b in enumerate(self.blocks) for at in b.locate(symbol)]
 
     def decode(self) -> np.ndarray:
-        return np.concatenate([b.decode() for b in self.blocks]) if self.blocks else np.zeros(0, np.uint16)
+        """All ids, as little-endian unsigned 32-bit numbers."""
+        return self.symbols[np.concatenate([b.decode() for b in self.blocks])] if self.blocks else np.zeros(0, "<u4")
+
+
+def _bits(symbols: int) -> int:
+    return max(1, (symbols - 1).bit_length())
 
 
 _SHARDS = "part long, shard long, part_start long, n_docs long, n_tokens long, payload binary"
@@ -191,7 +210,6 @@ def write_shards(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, tokenizer: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        bits = max(1, (max(encode.vocabulary, 2) - 1).bit_length())
         part, shard = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         lengths: list[int] = []
@@ -201,11 +219,11 @@ def write_shards(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, tokenizer: s
         def flush() -> pa.RecordBatch:
             row = {"part": part, "shard": shard, "part_start": start, "n_docs": len(doc_ids), "n_tokens": n}
             columns = {k: pa.array([v], pa.int64()) for k, v in row.items()}
-            return pa.RecordBatch.from_pydict(columns | {"payload": pa.array([Shard.dump(doc_ids, lengths, np.concatenate(held), bits)], pa.binary())})
+            return pa.RecordBatch.from_pydict(columns | {"payload": pa.array([Shard.dump(doc_ids, lengths, np.concatenate(held))], pa.binary())})
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids = np.frombuffer(encode(text.as_py()) + END, "<u4").astype(np.uint16 if bits <= 16 else np.uint32)
+                ids = np.frombuffer(encode(text.as_py()) + END, "<u4")
                 doc_ids.append(_NO_ID if doc is None else doc)
                 lengths.append(len(ids))
                 held.append(ids)
@@ -236,7 +254,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, start, payload in zip(*(batch.column(i) for i in range(3))):
                 shard = Shard(payload.as_py())
-                raw = shard.decode().astype("<u4").tobytes()
+                raw = shard.decode().tobytes()
                 ends = np.cumsum(shard.lengths)
                 at = before[part.as_py()] + start.as_py()
                 yield pa.RecordBatch.from_arrays(

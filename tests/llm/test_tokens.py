@@ -71,7 +71,7 @@ def test_wavelet_matrix_answers(rng=np.random.default_rng(3)):
 def test_shard_file_answers(rng=np.random.default_rng(4)):
     n = wavelet.BLOCK + 777
     ids = rng.integers(0, 49408, n)
-    shard = wavelet.Shard(wavelet.Shard.dump([4, 9], [100, n - 100], ids, 16))
+    shard = wavelet.Shard(wavelet.Shard.dump([4, 9], [100, n - 100], ids))
     assert shard.decode().tolist() == ids.tolist() and shard.doc_ids.tolist() == [4, 9]
     token = int(ids[-1])
     assert shard.locate(token) == np.flatnonzero(ids == token).tolist() and shard.access(n - 1) == token
