@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ def ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "").ratio()
 
 
+@lru_cache(1 << 18)
 def token_overlap(a: str, b: str) -> float:
     """F8: 1 for equal tokens, 0.85 if one holds the other, else the better of character Jaccard and sequence ratio."""
     if not a or not b:

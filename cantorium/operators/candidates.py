@@ -44,6 +44,14 @@ def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, k: int)
     return rank_top(scored, "query_id", "corpus_id", "score", k)
 
 
+def lexical_best(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Each query's corpus text with the highest sequence ratio, by trying all; for inputs that small only, see rerank()."""
+    tried = queries.select("query_id", F.col("text").alias("a")).crossJoin(corpus.select("corpus_id", F.col("text").alias("b")))
+    scored = tried.repartition("query_id", "corpus_id").withColumn("score", seq_ratio("a", "b"))
+    best = F.max(F.struct("score", (-F.col("corpus_id")).alias("i"))).alias("best")
+    return scored.groupBy("query_id").agg(best).select("query_id", (-F.col("best.i")).alias("corpus_id"), F.col("best.score").alias("score"))
+
+
 def tfidf_pairs(texts: DataFrame, least: float) -> DataFrame:
     """cosine of smoothed TF-IDF over character 1- and 2-grams, for pairs of texts that share a gram (id_a < id_b)."""
     lower = F.lower("text")

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantorium.functions import stats
-from cantorium.functions.lexical import seq_ratio
 from cantorium.operators import descriptive as D
 from cantorium.operators import knn, pairs, provenance, scores
 from cantorium.plans.common import WORDS_SQL, documents, query, six, words
@@ -103,16 +102,6 @@ def suspicion_report(spark, sf_dir):
     )
 
 
-@query()
-def lexical_best_match(spark, sf_dir):
-    """The benchmark passage that is nearest in wording to each opening of a turn; only for small corpora."""
-    turns = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.substring("text", 1, 60).alias("a"))
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("b")).filter("item_id < 12")
-    scored = turns.crossJoin(F.broadcast(passages)).repartition(8, "conv_id").withColumn("score", seq_ratio("a", "b"))
-    best = F.max(F.struct(F.col("score"), (-F.col("item_id")).alias("i")))
-    return scored.groupBy("conv_id").agg(best.alias("best")).select("conv_id", (-F.col("best.i")).alias("item_id"), six("best.score").alias("score"))
-
-
 _BASE = """
 select coalesce(event_type, '__overall__') as g, coalesce(bucket, '__overall__') as b, count(*) as base_n, quantile_cont(value, 0.9) as base_p90
 from (select event_type, 'b' || (user_id % 3) as bucket, value from events where user_id % 7 <> 0 and event_type <> 'error') group by grouping sets ((event_type, bucket), (bucket), ())"""

@@ -38,13 +38,13 @@ def binned_entropy(spark, sf_dir):
 
 
 _KNN = f"""
-with p as (select a.vec_id as query_id, b.vec_id as corpus_id, {_COS} as cosine from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 10 = 0),
+with p as (select a.vec_id as query_id, b.vec_id as corpus_id, {_COS} as cosine from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by cosine desc, corpus_id)::int as rank from p)"""
 
 
 def _neighbours(spark, sf_dir, k):
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     return knn.top_k(asked, vectors.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("v")), k, skip_same=True)
 
 
@@ -115,7 +115,7 @@ def charset_jaccard(spark, sf_dir):
 def hidden_connections(spark, sf_dir):
     """Vectors near in meaning whose documents differ in wording; ids tie vectors to documents."""
     near = _pairs(spark, sf_dir, 0.3)
-    docs = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 120).alias("text"))  # the report compares openings
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     a, b = (docs.select(F.col("doc_id").alias(f"vec_id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
     joined = near.join(a, "vec_id_a").join(b, "vec_id_b").repartition("vec_id_a").withColumn("lexical", seq_ratio("text_a", "text_b"))
     kept = joined.filter(stats.hidden(F.col("cosine"), F.col("lexical"), 0.3, 0.45))
@@ -124,9 +124,10 @@ def hidden_connections(spark, sf_dir):
 
 @query()
 def soft_jaccard_pairs(spark, sf_dir):
-    tokens = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(F.array_distinct(words(F.col("text")))), 1, 12).alias("tokens"), (F.col("item_id") % 8).alias("block"))
-    found = pairs.within(tokens, ["block"], "item_id", ["tokens"]).repartition("item_id_a")
-    return found.select("item_id_a", "item_id_b", six(set_similarity("tokens_a", "tokens_b")).alias("similarity"))
+    """Words of every two turns of a conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(F.array_distinct(words(F.col("text")))).alias("tokens"))
+    found = pairs.within(turns, ["conv_id"], "turn", ["tokens"]).repartition("conv_id", "turn_a", "turn_b")
+    return found.select("conv_id", "turn_a", "turn_b", six(set_similarity("tokens_a", "tokens_b")).alias("similarity"))
 
 
 _EDGES = f"select label, vec_id_a as src, vec_id_b as dst, cosine as weight from ({_PAIRS}) order by cosine desc, src, dst limit 300"
@@ -162,7 +163,7 @@ def homogeneity_cosine(spark, sf_dir):
 def homogeneity_summary(spark, sf_dir):
     """Sampled sources, their vectors and words, scores by round, then means over the rounds."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    tokens = F.slice(F.array_sort(F.array_distinct(words(F.col("text")))), 1, 10)
+    tokens = F.array_sort(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 12)))  # long words stand in for imagery
     docs = documents(spark, sf_dir).select("doc_id", "source", tokens.alias("tokens")).join(vectors, "doc_id")
     drawn = homogeneity.sample(docs, ["source"], "doc_id", 6, rounds=3)
     groups = ["source", "round"]

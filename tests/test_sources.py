@@ -102,3 +102,19 @@ def test_communities(spark):
     edges = spark.createDataFrame([(*r, "all") for r in rows], "src long, dst long, weight double, scope string")
     got = {r.node: r.community for r in graph.communities(edges).collect()}
     assert got == {n: g[0] for g in ((1, 2, 3, 4), (5, 6, 7), (8, 9, 10)) for n in g}
+
+
+def test_lexical_best_and_rerank_agree(spark):
+    import difflib
+
+    from cantorium.operators import candidates
+
+    asked = spark.createDataFrame([(1, "明月照孤舟"), (2, "春风吹柳")], "query_id long, text string")
+    rows = [(i, t) for i, t in enumerate(["孤舟明月", "明月照城", "春风柳绿", "秋雨", "明月照孤舟夜"])]
+    corpus = spark.createDataFrame(rows, "corpus_id long, text string")
+    want = {q: max((difflib.SequenceMatcher(None, t, c).ratio(), -i) for i, c in rows) for q, t in ((1, "明月照孤舟"), (2, "春风吹柳"))}
+    got = {r.query_id: (r.score, -r.corpus_id) for r in candidates.lexical_best(asked, corpus).collect()}
+    assert got == want
+    lexical = candidates.ngram_candidates(asked, corpus, 5)
+    merged = candidates.merge_candidates(lexical.limit(0), lexical, asked, corpus, 5)
+    assert {r.query_id: (r.score, -r.corpus_id) for r in candidates.rerank(merged, asked, corpus, 1).collect()} == want
