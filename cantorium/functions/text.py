@@ -94,8 +94,8 @@ def llm_array(response: Column, item: str) -> Column:
     """F13 (native part): an array, or an object as an array of one, with or without a code fence."""
     said = F.regexp_replace(F.regexp_replace(response, r"(?is)<think.*?</think.*?>", ""), r"```(?:json)?", "")
     whole = strip(said)
-    array = F.from_json(F.when(whole.startswith("["), whole), f"array<{item}>")
-    single = F.when(whole.startswith("{"), F.array(F.from_json(whole, item)))
+    array = F.from_json(F.when(whole.startswith("[") & whole.endswith("]"), whole), f"array<{item}>")
+    single = F.when(whole.startswith("{") & whole.endswith("}"), F.array(F.from_json(whole, item)))
     return F.coalesce(array, single)
 
 

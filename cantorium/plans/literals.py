@@ -120,7 +120,8 @@ def issue_classification(spark, sf_dir):
 ANSWERS = ('<think>x</think>{"cipai":"如梦令","title":"t","content":"c"} tail', '```json\n[{"id":1}]\n```', '{"id":2}', "noise [1,2] tail", "none")
 
 
-@query()
+@query("""
+select * from (values (0, '如梦令', null, null), (1, null, '[{"id":1}]', '[{"id":1}]'), (2, null, '[{"id":2}]', '[{"id":2}]'), (3, null, '[1,2]', null), (4, null, null, null)) v(id, cipai, "array", native_array)""")
 def llm_json_extract(spark, sf_dir):
     rows = spark.createDataFrame([(i, a) for i, a in enumerate(ANSWERS)], "id int, answer string")
     poem = text.llm_object(F.col("answer"), "cipai string, title string, content string")
