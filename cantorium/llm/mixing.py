@@ -122,7 +122,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, curves: tuple =
     middle = [F.col("source_size") * float(k) + F.col("at") + F.col("size") / 2.0 for k in range(most)]
     slots = F.array(*[F.when(m < F.col("target"), position(m / F.col("target"))) for m in middle])
     placed = placed.withColumn("positions", F.filter(slots, lambda t: t.isNotNull()))
-    placed = materialize(placed.select("doc_id", "source", "source_key", "text_hash", "size", "source_size", "target", "at", "positions"), "mix-places")
+    placed = materialize(placed.select("doc_id", "source", "source_key", "bucket", "text_hash", "size", "source_size", "target", "at", "positions"), "mix-places")
     placed = _nearer(placed, most)
     return placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
 
@@ -132,17 +132,19 @@ def _nearer(placed: DataFrame, most: int) -> DataFrame:
 
     A document's `at` and size name it in its source, as documents of size 0 are never chosen.
     """
-    got = F.sum(F.col("size") * F.size("positions"))
-    gaps = placed.groupBy("source_key").agg((F.first("target") - got).alias("gap"))
+    by_bucket = placed.groupBy("source_key", "bucket").agg(F.sum(F.col("size") * F.size("positions")).alias("got"), F.first("target").alias("target"))
+    own = Window.partitionBy("source_key")
+    gaps = by_bucket.select("source_key", "bucket", (F.col("target") - F.sum("got").over(own)).alias("gap"))  # a row for each bucket of a source
     able = (F.size("positions") < most) & (F.col("gap") > 0) | (F.size("positions") > 0) & (F.col("gap") < 0)
     miss = F.abs(F.col("size") - F.abs("gap"))
-    useful = placed.join(gaps, "source_key").filter(able & (F.col("size") > 0) & (miss < F.abs("gap")))
-    best = useful.groupBy("source_key").agg(F.min(F.struct(miss.alias("miss"), "at", "gap")).alias("best"))
-    best = best.select("source_key", F.col("best.at").alias("chosen_at"), F.col("best.gap").alias("chosen_gap"))
+    useful = placed.join(gaps, ["source_key", "bucket"]).filter(able & (F.col("size") > 0) & (miss < F.abs("gap")))
+    nearest = useful.groupBy("source_key", "bucket").agg(F.min(F.struct(miss.alias("miss"), "at", "gap", "bucket")).alias("nearest"))
+    best = nearest.groupBy("source_key").agg(F.min("nearest").alias("best"))
+    best = best.select("source_key", F.col("best.bucket").alias("bucket"), F.col("best.at").alias("chosen_at"), F.col("best.gap").alias("chosen_gap"))
     chosen = F.coalesce((F.col("at") == F.col("chosen_at")) & (F.col("size") > 0), F.lit(False))
     more, fewer = F.concat("positions", F.array(F.lit(1.0))), F.slice("positions", F.lit(1), F.greatest(F.size("positions") - 1, F.lit(0)))
     changed = F.when(chosen, F.when(F.col("chosen_gap") > 0, more).otherwise(fewer)).otherwise(F.col("positions"))
-    return placed.join(best, "source_key", "left").withColumn("positions", changed)
+    return placed.join(best, ["source_key", "bucket"], "left").withColumn("positions", changed)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
