@@ -61,9 +61,15 @@ def rhyme_group(key: Column) -> Column:
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """distinct character n-grams without white space; a shorter text is its own n-gram, an empty one has none."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s　]+", "")
-    places = F.sequence(F.lit(1), F.greatest(F.length(bare) - (n - 1), F.lit(1)))
-    grams = F.array_distinct(F.transform(places, lambda i: F.substring(bare, i, F.lit(n))))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(grams)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(windows(bare, n)))
+
+
+def windows(text: Column, n: int) -> Column:
+    """All runs of n characters of a non-empty text in order, the text itself if it is shorter; linear in its length."""
+    each = F.split(text, r"(?!^|\z)")
+    places = F.sequence(F.lit(1), F.greatest(F.size(each) - (n - 1), F.lit(1)))
+    # one element, so that the characters are split once and not at every place
+    return F.flatten(F.transform(F.array(F.struct(each.alias("c"), places.alias("p"))), lambda x: F.transform(x["p"], lambda i: F.array_join(F.slice(x["c"], i, F.lit(n)), ""))))
 
 
 def chars(text: Column) -> Column:

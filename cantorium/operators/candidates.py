@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantorium.functions.lexical import seq_ratio
-from cantorium.functions.text import char_ngrams
+from cantorium.functions.text import char_ngrams, windows
 from cantorium.operators.knn import rank_top
 
 
@@ -69,5 +69,4 @@ def tfidf_pairs(texts: DataFrame, least: float) -> DataFrame:
 
 
 def _grams(text, n: int):
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= n, windows(text, n)).otherwise(F.array().cast("array<string>"))
