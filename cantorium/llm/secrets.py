@@ -100,7 +100,7 @@ def random_p(token: Column, encoding: Column) -> Column:
 
     def battery(x: Column) -> Column:
         k, n = x["k"], x["n"]
-        symbols = F.transform(F.split(x["body"], "(?!^)"), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
+        symbols = F.transform(F.split(x["body"], r"(?!^|\z)"), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
         return F.struct(k.alias("k"), n.alias("n"), symbols.alias("s"))
 
     def counted(x: Column) -> Column:
