@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([[model.bias], model.weights]).astype(np.float64))], ["at", "weight"])
 
     rows = sample(docs, labels, learn, most).mapInArrow(read, "x binary, toxic int, place long")
-    weights = rows.coalesce(1).sortWithinPartitions("place", "x").mapInArrow(learned, "at int, weight double").collect()
+    weights = rows.repartition(1).sortWithinPartitions("place", "x").mapInArrow(learned, "at int, weight double").collect()
     bias = next((r.weight for r in weights if r.at < 0), 0.0)
     own = sorted((r.at, r.weight) for r in weights if r.at >= 0)
     return Model(bias, np.array([a for a, _ in own], np.int32), np.array([w for _, w in own], np.float32))
