@@ -124,12 +124,13 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     table = known_digests(docs.sparkSession, known)
     table = F.broadcast(table) if len(known) <= BROADCAST_ROWS else table
     plain = docs.select("doc_id", canonical(F.col("text")).alias("plain"))
-    texts = plain.select("doc_id", digest(F.col("plain")).alias("text_digest"))
-    whole = texts.join(table, F.col("text_digest") == F.col("known_digest"), "left").select("doc_id", "text_digest", "licence")
-    lines = plain.select("doc_id", digest(F.col("plain")).alias("text_digest"), F.explode(F.split("plain", "\n")).alias("line"))
-    found = lines.select("doc_id", "text_digest", digest(F.col("line")).alias("line_digest")).join(table, F.col("line_digest") == F.col("known_digest"))
-    listed = found.groupBy("doc_id", "text_digest").agg(F.sort_array(F.collect_set("licence")).alias("listed"))
-    listed = listed.select(F.col("doc_id").alias("listed_doc"), F.col("text_digest").alias("listed_digest"), "listed")
-    same = F.col("doc_id").eqNullSafe(F.col("listed_doc")) & (F.col("text_digest") == F.col("listed_digest"))
-    both = whole.join(listed, same, "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
-    return both.select("doc_id", "text_digest", "licence", F.array_join("listed", ",").alias("notices"), F.size("listed").cast("long").alias("n_notices"))
+    digests = plain.select("doc_id", digest(F.col("plain")).alias("text_digest"), F.transform(F.split("plain", "\n"), digest).alias("lines"))
+    units = digests.select("doc_id", "text_digest", F.posexplode(F.concat(F.array("text_digest"), "lines")).alias("at", "unit_digest"))
+    whole = F.col("at") == 0
+    found = units.join(table, F.col("unit_digest") == F.col("known_digest"), "left").filter(whole | F.col("licence").isNotNull())
+    # equal rows meet here and part again, as many as they were
+    grouped = found.groupBy("doc_id", "text_digest").agg(
+        F.sum(whole.cast("int")).alias("times"), F.max(F.when(whole, F.col("licence"))).alias("licence"), F.sort_array(F.collect_set(F.when(~whole, F.col("licence")))).alias("listed")
+    )
+    rows = grouped.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return rows.select("doc_id", "text_digest", "licence", F.array_join("listed", ",").alias("notices"), F.size("listed").cast("long").alias("n_notices"))
