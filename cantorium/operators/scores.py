@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +126,3 @@ def matrix(df: DataFrame, row: str, column: str, names: list[str], value: str) -
     """Rows by columns, rounded to 3 digits, 0 where there is nothing."""
     wide = df.groupBy(row).pivot(column, names).agg(F.round(F.first(value), 3))
     return wide.na.fill(0.0, names)
-
-
-def unpivot_sum(df: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) for c in columns])

@@ -10,9 +10,6 @@ from cantorium.operators import provenance, scores
 from cantorium.plans.common import query, six
 from cantorium.session import table
 
-_SCORE = "least(value, 100)"
-_ISSUE = "case when event_type = (select min(event_type) from events) then null else event_type end"
-
 
 def _events(spark, sf_dir):
     events = table(spark, sf_dir, "events")
