@@ -1,7 +1,11 @@
 """Near-duplicate vectors by cosine, found on a robust-pruned flat graph.
 
-Equal vectors are one node. Nodes go to the shards of their nearest cluster centres, so shards overlap; a cluster that is
-too large for one task is dealt into parts, and every pair of parts is a shard, so none of its links is out of reach. In
+Equal vectors are one node. Nodes go to the shard of their nearest cluster centre and to those of all centres that a link
+may lead to, so shards overlap and both ends of every link share one: two nodes with different nearest centres lie on
+either side of the plane midway between these, and if they are within the threshold's angle, one of them is within half
+of it of that plane. Centres nearer to each other than that angle are one, so a hot group is not torn. A cluster that is
+too large for one task is dealt into parts, and every pair of parts is a shard, so none of its links is out of reach.
+Where vectors have so little structure that shards would mostly overlap, all nodes are one cluster in parts. In
 each shard a node's nearest nodes and some far ones are pruned robustly to a short adjacency list; a node's lists from all
 its shards are united. A greedy search enters a shard's graph at medoids and at the query's own node, walks towards the
 query, then expands through everything in range. What it finds is checked in double precision.
@@ -35,7 +39,6 @@ SHARD, PART = 800, 4096
 MOST_CENTRES = 1024
 #: Nodes, by hashes of ids, on which centres are fitted.
 CENTRE_SAMPLE = 20_000
-OVERLAP = 2
 NEAREST, FAR, DEGREE, FAR_DEGREE, ALPHA = 40, 12, 16, 6, 1.2
 MEDOIDS, HOPS, SLACK = 8, 16, 0.05
 QUERIES = 256
@@ -58,6 +61,43 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def merge_centres(sample: np.ndarray, centres: np.ndarray, threshold: float) -> np.ndarray:
+    """The centres without those nearer than the threshold to one with more rows of the sample."""
+    weight = np.zeros(len(centres), np.int64)
+    for i in range(0, len(sample), 4096):
+        weight += np.bincount((sample[i : i + 4096] @ centres.T).argmax(1), minlength=len(centres))
+    kept: list[int] = []
+    for c in np.argsort(-weight, kind="stable").tolist():
+        if not kept or (centres[kept] @ centres[c]).max() < threshold:
+            kept.append(c)
+    return centres[kept]
+
+
+def places(e: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of length 1: each row's nearest centre, and which centres' shards it goes to (rows x centres), so that rows within the threshold share one."""
+    reach = np.sin(np.arccos(np.clip(threshold, -1, 1)) / 2)
+    between = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+    sims = e @ centres.T
+    main = sims.argmax(1)
+    return main, sims[np.arange(len(e)), main][:, None] - sims <= reach * between[main] + 1e-9
+
+
+def choose_centres(sample: np.ndarray, k: int, total: int, threshold: float) -> np.ndarray:
+    """At most k centres, as many as make the shards' work least: the squares of their sizes, twice for those in parts."""
+    best, least = fit_centres(sample, 1), float("inf")
+    if k == 1 or not len(sample):
+        return best
+    for many in sorted({1, *(max(1, k >> i) for i in range(0, 11, 2))}):
+        centres = fit_centres(sample, many) if many > 1 else best
+        centres = merge_centres(sample, centres / np.linalg.norm(centres, axis=1, keepdims=True), threshold)
+        held = sum(places(sample[i : i + 1024], centres, threshold)[1].sum(0) for i in range(0, len(sample), 1024))
+        size = held * (total / len(sample))
+        work = float((size**2 * np.where(size > PART, 2, 1)).sum())
+        if work < least:
+            best, least = centres, work
+    return best
+
+
 def _pruned(x: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
     """Of each row's candidates (nearest first, -1 for none) those that no kept one is much nearer to than the row is."""
     points = x[near]
@@ -148,22 +188,23 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, th
 _PLACED = "cluster int, main boolean, node long, n long, e array<double>"
 
 
-def _place(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
-    """Each node in its nearest clusters; main: the nearest. Vectors are scaled to length 1."""
+def _place(nodes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
+    """Each node in the clusters of places(); main: the nearest. Vectors are scaled to length 1."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            e = batch.column(2).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            e = e / np.abs(e).max(1, keepdims=True)  # no overflow below
-            e = e / np.linalg.norm(e, axis=1, keepdims=True)
-            take = min(overlap, len(centres))
-            near = np.argsort(-(e @ centres.T), axis=1, kind="stable")[:, :take]
-            for k in range(take):
-                arrays = [pa.array(near[:, k].astype(np.int32)), pa.array(np.full(len(e), k == 0)), batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(e.reshape(-1)), e.shape[1]).cast(pa.list_(pa.float64()))]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                e = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
+                e = e / np.abs(e).max(1, keepdims=True)  # no overflow below
+                e = e / np.linalg.norm(e, axis=1, keepdims=True)
+                main, held = places(e, centres, threshold)
+                row, cluster = np.nonzero(held)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(e[row].reshape(-1)), e.shape[1]).cast(pa.list_(pa.float64()))
+                took = pa.array(row)
+                arrays = [pa.array(cluster.astype(np.int32)), pa.array(main[row] == cluster), batch.column(0).take(took), batch.column(1).take(took), vectors]
                 yield pa.RecordBatch.from_arrays(arrays, ["cluster", "main", "node", "n", "e"])
 
     return nodes.select("node", "n", "e").mapInArrow(run, _PLACED)
@@ -173,7 +214,7 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.stack(rows.to_numpy()).astype(float)
 
 
-def _links_of_dimension(nodes: DataFrame, threshold: float, overlap: int) -> DataFrame:
+def _links_of_dimension(nodes: DataFrame, threshold: float) -> DataFrame:
     """kind, a, b, n: links among nodes (node, n, e) of one vector length.
 
     kind 0: node a has n rows linked to it inside its cluster; 1: a pair of a cluster's spanning forest; 2: a link across clusters.
@@ -187,7 +228,7 @@ def _links_of_dimension(nodes: DataFrame, threshold: float, overlap: int) -> Dat
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     else:
         sample = np.array([_unit(nodes.select("e").limit(1).toPandas()["e"])[0]])
-    placed = materialize(_place(nodes, fit_centres(sample, k), overlap), "dup-places")
+    placed = materialize(_place(nodes, choose_centres(sample, k, total, threshold), threshold), "dup-places")
     sizes = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # at most MOST_CENTRES rows
     parts = F.create_map(*[F.lit(v) for c, n in sorted(sizes.items()) for v in (c, -(-n // PART))])
     dealt = placed.withColumn("parts", F.element_at(parts, F.col("cluster"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -240,7 +281,7 @@ def _links_of_dimension(nodes: DataFrame, threshold: float, overlap: int) -> Dat
     return known.groupBy("cluster", "p", "q").applyInPandas(search, "kind long, a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     e = F.transform(as_double(F.col("embedding")), lambda x: x + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"))
@@ -251,7 +292,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     lengths = sorted(r[0] for r in nodes.select(F.size("e")).distinct().collect())
     found = None
     for length in lengths:
-        some = _links_of_dimension(nodes.filter(F.size("e") == length), threshold, overlap)
+        some = _links_of_dimension(nodes.filter(F.size("e") == length), threshold)
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = nodes.sparkSession.createDataFrame([], "kind long, a long, b long, n long")

@@ -58,6 +58,37 @@ def test_near_duplicates(spark, monkeypatch, part):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in bad)
 
 
+def test_every_link_has_a_shard_on_a_hot_group():
+    rng = np.random.default_rng(9)
+    total = 200_000
+    x = rng.normal(size=(total, 64)).astype(np.float32)
+    hot = rng.permutation(total)[: total // 3]
+    x[hot] = rng.normal(size=64) + 0.17 * rng.normal(size=(len(hot), 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sample = x[rng.permutation(total)[:4000]]
+    asked = hot[:200]
+    a, b = np.nonzero(x[asked] @ x[hot].T >= embed_dups.THRESHOLD)
+    assert len(a) > 1_000_000
+
+    def covered(centres):
+        main, held = embed_dups.places(x[hot], centres, embed_dups.THRESHOLD)
+        return (held[b, main[a]] | held[a, main[b]]).all()  # asked is the head of hot
+
+    loose = embed_dups.fit_centres(sample, 250)
+    assert covered(loose / np.linalg.norm(loose, axis=1, keepdims=True))
+    merged = embed_dups.merge_centres(sample, loose, embed_dups.THRESHOLD)
+    assert covered(merged) and ((merged @ x[asked[0]]) > 0.9).sum() == 1
+    assert covered(embed_dups.choose_centres(sample, 250, total, embed_dups.THRESHOLD))
+
+
+def test_audit_finds_all_links_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(embed_dups, "SHARD", 20)
+    rows = list(enumerate(sets(np.random.default_rng(5), 1, 500, 700, dims=32, noise=0.12).tolist()))
+    vectors = frame(spark, rows)
+    true, got = embed_dups.audit(vectors, embed_dups.near_duplicates(vectors), most=1200)
+    assert true > 50_000 and got == true
+
+
 def test_audit_and_edges(spark):
     rows = list(enumerate(sets(np.random.default_rng(2), 3, 20, 10).tolist()))
     vectors = frame(spark, rows)
