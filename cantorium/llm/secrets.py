@@ -29,7 +29,8 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 RANDOM = "random"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: '=' is padding at a token's end only, so a name and its value are two tokens.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings from the narrowest: name, alphabet in order.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (

@@ -56,6 +56,19 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert all(r.spans[0].start == 4 and r.spans[0].end == 44 for r in rows if r.doc_id in hit)
 
 
+def test_random_keys_after_a_name_are_found(spark):
+    rng = random.Random(8)
+    forms = ["AWS_KEY={}", "auth={}", "https://a.example/f?sig={}&x=1", "A_NAME_OF_MORE_THAN_TWENTY_LETTERS={}", "sig={}==", "export K='{}'"]
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(60)]
+    texts = [forms[i % len(forms)].format(k) for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in secrets.scan(docs).collect()}
+    at = [(t.index(k), t.index(k) + 40 + 2 * t.endswith("==")) for t, k in zip(texts, keys)]
+    assert sum(at[i] in found[i] for i in found) >= 54
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(keys[i] not in clean[i] and clean[i].startswith(texts[i][: at[i][0]]) for i in found if at[i] in found[i])
+
+
 def test_redact(spark):
     text = 'a password=abcdef12 b "AKIA' + "Z9" * 10 + '" c'
     docs = spark.createDataFrame([(1, text, len(text), "z"), (2, "clean", 5, "z"), (3, None, None, "z")], "doc_id long, text string, n_chars long, at string")
