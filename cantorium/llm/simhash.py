@@ -167,15 +167,20 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: link_buckets(it, most), "a long, b long")
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
+def _rooted(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
+    """doc_id, fp, root, component_id of every document. root: a fingerprint of its class, of which several may have one component_id where ids repeat."""
     prints = materialize(fingerprints(docs, shingle), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-nodes")
     tied = components(links(nodes, most)).withColumnRenamed("node", "fp")
     rooted = nodes.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
+    """doc_id, fp, component_id of every document."""
+    return _rooted(docs, shingle, most).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp) -> object:
@@ -183,9 +188,16 @@ def hexadecimal(fp) -> object:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are the smallest id of their class, one row each; rows without an id stay."""
-    kept = classes(docs, **how).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    first = named.join(kept, named["doc_id"] == kept["__kept_id"], "left_semi").dropDuplicates(["doc_id"])
+def drop_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
+    """A row of docs for each class, of its smallest id; rows without an id stay, and so do texts of other classes under one id."""
+
+    @F.arrow_udf("long")
+    def printed(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts.cast(pa.binary())], np.uint64).view(np.int64))
+
+    own = _rooted(docs, shingle, most).filter(F.col("doc_id") == F.col("component_id"))
+    kept = own.groupBy("root", F.col("doc_id").alias("__kept_id")).agg(F.min("fp").alias("__kept_fp")).drop("root")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__fp", printed(F.col("text").cast("string")))
+    same = (F.col("doc_id") == F.col("__kept_id")) & (F.col("__fp") == F.col("__kept_fp"))
+    first = named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__fp"]).drop("__fp")
     return first.unionByName(docs.filter(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,6 +16,8 @@ from cantorium.session import materialize, table
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    if not len(model.coordinates) and model.bias == 0:  # nothing was learned, so nothing is rejected
+        return docs
     text = F.col("text").cast("string")
     return docs.filter(toxicity.score_column(model, text, docs) < toxicity.THRESHOLD)
 

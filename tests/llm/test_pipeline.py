@@ -53,3 +53,10 @@ def test_run_gives_the_stages_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, small), "test-stage")
     assert sorted(map(repr, rows)) == sorted(map(repr, docs.drop("sequence_id").collect()))
+
+
+def test_toxicity_without_labels_keeps_all(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    for k, rows in enumerate([[], [(99, 1, 1)]]):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / f"{k}/labels.parquet"))
+        assert corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path / str(k))).count() == 2

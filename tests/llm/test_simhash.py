@@ -89,3 +89,11 @@ def test_classes_and_drop(spark):
     kept = simhash.drop_duplicates(docs).collect()
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == sorted([-1, *{want[i] for i in prints}])
     assert kept[0].__fields__ == docs.columns and simhash.classes(docs.limit(0)).collect() == []
+
+
+def test_drop_keeps_different_texts_under_one_id(spark):
+    rng = random.Random(7)
+    a, b, c = (" ".join(rng.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=200)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (2, c)], "doc_id long, text string").repartition(3)
+    kept = simhash.drop_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (2, c)])
