@@ -9,7 +9,7 @@ A source's documents are ordered by a hash of their ids. Cumulative words come f
 a bucket, a window, so no source is ever gathered in one task.
 
 Defined results: null text has size 0; null sources form one source, ordered last; null doc_ids are mixed like others;
-repeated rows are separate documents; an empty table gives an empty plan; further columns of any name are left alone.
+rows that share an id or all columns are separate documents; an empty table gives an empty plan; further columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantorium.llm.rows import free, row_hash
 from cantorium.session import materialize
 
 #: Weights of the sources in code point order, over and over.
@@ -49,34 +50,46 @@ def inverse_demand(share: Column, curve: tuple[tuple[float, float], ...]) -> Col
     return found.otherwise(F.lit(curve[-1][0]))
 
 
+def _numbered(totals: DataFrame) -> DataFrame:
+    """totals with `number`, the place of source_key in code point order, from 0; no task sees more than its range of keys."""
+    placed = totals.repartitionByRange("source_key").sortWithinPartitions("source_key").withColumn("row", F.monotonically_increasing_id())
+    placed = materialize(placed, "mix-sources").withColumn("part", F.shiftright("row", 33))
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "part").withColumn("number", F.col("before") + within).drop("part", "row", "before")
+
+
 def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """From (source_key, source_size): also kind (place in weights) and target, the words that the mix wants.
 
     All words are shared by weight; what a source's limit of `most` times its size cuts off is shared by weight among
-    the others, until none is above. In order of limit over weight, the limited sources come first, so one pass of
-    prefix sums finds them.
+    the others, until none is above. The share that a unit of weight gets only rises as sources reach their limits, so it
+    is found by sums over all sources, again and again until no further source is limited.
     """
-    order = Window.orderBy("source_key")
-    ranked = totals.withColumn("kind", ((F.row_number().over(order) - 1) % len(weights)).cast("int"))
+    kind = (F.col("number") % len(weights)).cast("int")
+    ranked = _numbered(totals).withColumn("kind", kind)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("kind") + 1)
-    limit = F.col("source_size") * float(most)
-    ranked = ranked.withColumns({"w": w, "limit": limit}).withColumn("level", F.col("limit") / F.col("w"))
-    before, every = Window.orderBy("level", "source_key").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    cut = F.lit(0.0)
-    ranked = ranked.withColumns({
-        "all_w": F.sum("w").over(every),
-        "all_size": F.sum("source_size").over(every).cast("double"),
-        "w_before": F.coalesce(F.sum("w").over(before), cut),
-        "limit_before": F.coalesce(F.sum("limit").over(before), cut),
-    })
-    limited = (F.col("all_size") - F.col("limit_before")) / (F.col("all_w") - F.col("w_before")) > F.col("level")
-    ranked = ranked.withColumn("limited", limited)
-    ranked = ranked.withColumns({
-        "cut_w": F.sum(F.when(F.col("limited"), F.col("w")).otherwise(0.0)).over(every),
-        "cut_size": F.sum(F.when(F.col("limited"), F.col("limit")).otherwise(0.0)).over(every),
-    })
-    shared = F.col("w") * ((F.col("all_size") - F.col("cut_size")) / (F.col("all_w") - F.col("cut_w")))
-    return ranked.select("source_key", "source_size", "kind", F.when(F.col("limited"), F.col("limit")).otherwise(shared).alias("target"))
+    ranked = ranked.withColumns({"w": w, "limit": F.col("source_size") * float(most)}).withColumn("level", F.col("limit") / F.col("w"))
+    free_words = free_w = None
+    share = -1.0
+    while True:
+        limited = F.col("level") < F.lit(share)
+        sums = ranked.agg(
+            F.sum("source_size").cast("double"), F.sum("w"),
+            F.sum(F.when(limited, F.col("limit")).otherwise(0.0)), F.sum(F.when(limited, F.col("w")).otherwise(0.0)),
+        ).first()
+        if sums[1] is None or sums[1] <= sums[3]:
+            break
+        free_words, free_w = sums[0] - sums[2], sums[1] - sums[3]
+        was, share = share, free_words / free_w
+        if share <= was:
+            break
+    if free_w is None:  # no sources
+        return ranked.select("source_key", "source_size", "kind", F.lit(0.0).alias("target"))
+    shared = F.col("w") * F.lit(free_words / free_w)
+    target = F.when(F.col("level") < F.lit(share), F.col("limit")).otherwise(shared)
+    return ranked.select("source_key", "source_size", "kind", target.alias("target"))
 
 
 def _source_key() -> Column:
@@ -84,23 +97,22 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b"))
 
 
-_KEYS = ["__mix_doc", "__mix_source", "__mix_text"]
-
-
-def _keys(text_hash: Column) -> list[Column]:
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return [c.alias(name) for c, name in zip((doc, _source_key(), text_hash), _KEYS)]
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, curves: tuple = CURVES, most: int = MOST_REPEATS) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, taken, positions (ascending, one a copy)."""
+    rows = plan_rows(docs.withColumn(free(docs, "row")[0], F.lit(None).cast("long")), free(docs, "row")[0], weights, curves, most)
+    return rows.drop("row")
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, curves: tuple = CURVES, most: int = MOST_REPEATS) -> DataFrame:
-    """A row for each document: doc_id, source, text_hash, size, source_size, target, taken, positions (ascending, one a copy)."""
+def plan_rows(docs: DataFrame, row: str, weights: tuple[float, ...] = WEIGHTS, curves: tuple = CURVES, most: int = MOST_REPEATS) -> DataFrame:
+    """plan() with the column `row` of docs as the column row."""
     doc_id, source, text = F.col("doc_id"), F.col("source").cast("string"), F.col("text").cast("string")
     name = F.coalesce(doc_id.cast("string"), F.lit(""))
     rows = docs.select(
         doc_id.alias("doc_id"),
         source.alias("source"),
         _source_key().alias("source_key"),
-        F.xxhash64(text).alias("text_hash"),
+        F.col(f"`{row}`").cast("long").alias("row"),
+        row_hash(docs.drop(row)).alias("row_hash"),
         word_count(text).alias("size"),
         F.conv(F.substring(F.md5(name), 1, _KEY_BITS // 4), 16, 10).cast("long").alias("key"),
     ).withColumn("bucket", F.shiftright("key", _KEY_BITS - BUCKET_BITS))
@@ -109,7 +121,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, curves: tuple =
     goals = targets(buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     so_far = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0))).join(goals, "source_key")
-    within = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "size", "row_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(offsets, ["source_key", "bucket"]).withColumn("at", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
     def position(share: Column) -> Column:
@@ -122,9 +134,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, curves: tuple =
     middle = [F.col("source_size") * float(k) + F.col("at") + F.col("size") / 2.0 for k in range(most)]
     slots = F.array(*[F.when(m < F.col("target"), position(m / F.col("target"))) for m in middle])
     placed = placed.withColumn("positions", F.filter(slots, lambda t: t.isNotNull()))
-    placed = materialize(placed.select("doc_id", "source", "source_key", "bucket", "text_hash", "size", "source_size", "target", "at", "positions"), "mix-places")
+    placed = materialize(placed.select("doc_id", "source", "source_key", "bucket", "row", "size", "source_size", "target", "at", "positions"), "mix-places")
     placed = _nearer(placed, most)
-    return placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
+    return placed.select("doc_id", "source", "row", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
 
 
 def _nearer(placed: DataFrame, most: int) -> DataFrame:
@@ -148,10 +160,13 @@ def _nearer(placed: DataFrame, most: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents' rows in training order, each as often as the plan takes it (range-sorted by position)."""
-    chosen = plan(docs, **how).filter(F.size("positions") > 0)
-    chosen = chosen.select(*_keys(F.col("text_hash")), "positions").groupBy(*_KEYS).agg(F.flatten(F.collect_list("positions")).alias("__mix_at"))
-    # equal rows share a row of the plan, which holds the copies of all of them
-    rows = docs.select("*", *_keys(F.xxhash64(F.col("text").cast("string")))).dropDuplicates(_KEYS)
-    placed = rows.join(chosen, _KEYS).withColumn("__mix_at", F.explode("__mix_at"))
-    return placed.orderBy("__mix_at", "__mix_doc").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents' rows in training order, each as often as the plan takes it (range-sorted by position).
+
+    Rows are numbered in a table of their own, so that rows that share an id, a text or everything stay apart.
+    """
+    row, at = free(docs, "row", "at")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    chosen = plan_rows(numbered, row, **how).filter(F.size("positions") > 0)
+    chosen = chosen.select(F.col("row").alias(row), F.col("positions").alias(at))
+    placed = numbered.join(chosen, row).withColumn(at, F.explode(at))
+    return placed.orderBy(at, row).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -65,6 +65,23 @@ def test_mix_rows_follow_plan(spark, docs):
     assert count == want
 
 
+def test_mix_keeps_rows_that_differ_in_another_column(spark):
+    schema = "doc_id long, text string, source string, lang string, __mix_at int, row string, tags map<string,int>"
+    rows = [(1, "a b c", "s", "en", 1, "r", {"a": 1}), (1, "a b c", "s", "de", 1, "r", None), (1, "a b c", "s", "de", 1, "r", None), (None, "x y", "s", "fr", 2, None, {})]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = mixing.mix(docs, weights=(1,), curves=(((0.0, 1.0), (1.0, 1.0)),)).collect()
+    assert got[0].__fields__ == docs.columns
+    assert sorted(map(repr, got)) == sorted(map(repr, docs.collect()))
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(9)
+    sizes = {f"s{i:04d}": rng.choice([0, 1, 10, 100, 10_000]) for i in range(700)}
+    totals = spark.createDataFrame([(f"a{k}", v) for k, v in sizes.items()], "source_key string, source_size long").repartition(7)
+    got = {r.source_key[1:]: r.target for r in mixing.targets(totals).collect()}
+    assert got == pytest.approx(shares(sizes))
+
+
 def test_inverse_demand_inverts_the_integral(spark):
     from pyspark.sql import functions as F
 
