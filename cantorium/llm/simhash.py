@@ -3,14 +3,17 @@
 A fingerprint is a ring of 8 segments of 8 bits. If two fingerprints differ in at most 2 bits, then from some segment on
 the differences in the first l segments are at most l * 2/8 for every l: none in the first three segments, at most one in
 the first seven, at most two in all. So for each start the first 24 bits agree, and of the next 32 bits one half agrees
-too: 16 keys of 40 bits reach every link. Fingerprints that share a key pass the chain's budgets, then the full check.
+too: 16 keys of 40 bits reach every link. Fingerprints that share a key are candidates only if the whole chain from the
+key's start keeps its budgets; what is left is checked in full. No link is lost: each has a start from which its chain holds.
 
 Equal fingerprints are one node. Links in a key's bucket are handed on as a spanning forest, so a bucket of b nodes gives
-fewer than b pairs; a large bucket is linked by sorting under each mask of two free bits, which needs no pairs at all.
+fewer than b pairs; a large bucket is linked by sorting under each mask of two free bits, which needs no pairs at all and
+finds the same links. A fingerprint of many documents is joined to them by a broadcast of such fingerprints, which are few.
 
 Defined results: text that is null or has no words has fingerprint zero and is linked like any other; a null doc_id gets
 its fingerprint's component and is never the smallest id; repeated rows have one row each; an empty table gives none;
-further columns of any name are ignored, or kept by drop_duplicates().
+further columns of any name are ignored, or kept by drop_duplicates(). Of several rows of one id and class
+drop_duplicates() keeps the one with the smallest text in code point order.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantorium.llm.components import components
+from cantorium.llm.rows import attach, free, row_hash
 from cantorium.session import materialize
 
 SHINGLE_WORDS = 3
@@ -108,12 +112,33 @@ def _link_large(nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return _forest(nodes, np.concatenate(found_i), np.concatenate(found_j))
 
 
-def _link_bucket(nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _budgets(most: int) -> np.uint64:
+    """Byte l - 1: how many differing bits the first l segments of a chain may have; with the byte's highest bit set."""
+    return np.uint64(sum((0x80 | l * most // SEGMENTS) << 8 * (l - 1) for l in range(1, SEGMENTS + 1)))
+
+
+def in_chain(apart: np.ndarray, start: int, most: int = MOST_BITS) -> np.ndarray:
+    """Which differences (64 bits, segment 0 highest) keep the budgets of the chain of all segments from `start` round the ring."""
+    turn = np.uint64(8 * start)
+    turned = apart << turn | apart >> np.uint64(64) - turn if start else apart
+    counts = turned.byteswap()  # segment `start` in the lowest byte
+    counts = counts - (counts >> np.uint64(1) & np.uint64(0x5555555555555555))
+    counts = (counts & np.uint64(0x3333333333333333)) + (counts >> np.uint64(2) & np.uint64(0x3333333333333333))
+    counts = counts + (counts >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)
+    sums = counts * _LANES  # byte l - 1: differing bits of the first l segments, 64 at most
+    high = np.uint64(0x8080808080808080)
+    return (_budgets(most) - sums) & high == high
+
+
+def _link_bucket(nodes: np.ndarray, start: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     if len(nodes) > COMPARED:
         return _link_large(nodes, most)
-    near = np.bitwise_count(nodes[:, None] ^ nodes[None, :]) <= most
-    i, j = np.nonzero(np.triu(near, 1))
-    return _forest(nodes, i, j)
+    i, j = np.triu_indices(len(nodes), 1)
+    apart = nodes[i] ^ nodes[j]
+    near = in_chain(apart, start, most)
+    i, j, apart = i[near], j[near], apart[near]
+    linked = np.bitwise_count(apart) <= most
+    return _forest(nodes, i[linked], j[linked])
 
 
 def link_buckets(batches: Iterator[pa.RecordBatch], most: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
@@ -125,11 +150,16 @@ def link_buckets(batches: Iterator[pa.RecordBatch], most: int = MOST_BITS) -> It
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         found_a, found_b = [], []
         pairs = starts[sizes == 2]
-        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= most]
+        apart, begins = fp[pairs] ^ fp[pairs + 1], key[pairs] >> 41
+        near = np.zeros(len(pairs), bool)
+        for begin in range(SEGMENTS):
+            own = begins == begin
+            near[own] = in_chain(apart[own], begin, most)
+        pairs = pairs[near & (np.bitwise_count(apart) <= most)]
         found_a.append(fp[pairs + 1])
         found_b.append(fp[pairs])
         for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            a, b = _link_bucket(fp[at : at + n], most)
+            a, b = _link_bucket(fp[at : at + n], int(key[at]) >> 41, most)
             found_a.append(a)
             found_b.append(b)
         a, b = (np.concatenate(x).view(np.int64) for x in (found_a, found_b))
@@ -162,7 +192,9 @@ def keys(fp) -> list:
 
 
 def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Pairs a, b of distinct fingerprints (column fp) that span the same components as all links."""
+    """Pairs a, b of distinct fingerprints (column fp) that span the same components as all links of at most `most` bits (0 to 2)."""
+    if not 0 <= most <= MOST_BITS:
+        raise ValueError(f"the keys are complete for 0 to {MOST_BITS} differing bits, not for {most}")
     keyed = distinct.select(F.explode(F.array(*keys(F.col("fp")))).alias("key"), "fp")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: link_buckets(it, most), "a long, b long")
 
@@ -170,12 +202,13 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
 def _rooted(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
     """doc_id, fp, root, component_id of every document. root: a fingerprint of its class, of which several may have one component_id where ids repeat."""
     prints = materialize(fingerprints(docs, shingle), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     tied = components(links(nodes, most)).withColumnRenamed("node", "fp")
     rooted = nodes.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    named = materialize(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "simhash-classes")
+    return attach(prints, named, "fp", "n", total).select("doc_id", "fp", "root", "component_id")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
@@ -196,8 +229,12 @@ def drop_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = M
         return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts.cast(pa.binary())], np.uint64).view(np.int64))
 
     own = _rooted(docs, shingle, most).filter(F.col("doc_id") == F.col("component_id"))
-    kept = own.groupBy("root", F.col("doc_id").alias("__kept_id")).agg(F.min("fp").alias("__kept_fp")).drop("root")
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__fp", printed(F.col("text").cast("string")))
-    same = (F.col("doc_id") == F.col("__kept_id")) & (F.col("__fp") == F.col("__kept_fp"))
-    first = named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__fp"]).drop("__fp")
-    return first.unionByName(docs.filter(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept_id, kept_fp, fp = free(docs, "kept_id", "kept_fp", "fp")
+    kept = own.groupBy("root", F.col("doc_id").alias(kept_id)).agg(F.min("fp").alias(kept_fp)).drop("root")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(fp, printed(F.col("text").cast("string")))
+    same = (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(fp) == F.col(kept_fp))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), row_hash(docs))
+    first = named.join(kept, same, "left_semi").groupBy(F.col("doc_id").alias(kept_id), fp).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    first = first.select([F.col("row").getField(c).alias(c) for c in docs.columns])
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()).select(*columns))

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from cantorium.llm import components, simhash
 
 
@@ -65,6 +68,24 @@ def test_links_span_the_exact_classes(spark, monkeypatch, compared):
     assert plain_components(nodes, got) == plain_components(nodes, linked)
 
 
+def test_chain_budgets():
+    rng = random.Random(8)
+    for _ in range(3000):
+        apart = sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 2, 3, 4, 9, 64])))
+        counts = [(apart >> 56 - 8 * k & 255).bit_count() for k in range(8)]
+        chains = []
+        for start in range(8):
+            chain = [counts[(start + k) % 8] for k in range(8)]
+            chains.append(all(sum(chain[:n]) * 8 <= n * 2 for n in range(1, 9)))
+            assert bool(simhash.in_chain(np.array([apart], np.uint64), start)[0]) == chains[-1]
+        assert any(chains) == (apart.bit_count() <= 2)
+
+
+def test_links_refuses_what_its_keys_do_not_cover(spark):
+    with pytest.raises(ValueError, match="0 to 2"):
+        simhash.links(spark.createDataFrame([], "fp long"), 3)
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randint(-50, 400), rng.randint(-50, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
@@ -94,6 +115,7 @@ def test_classes_and_drop(spark):
 def test_drop_keeps_different_texts_under_one_id(spark):
     rng = random.Random(7)
     a, b, c = (" ".join(rng.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=200)) for _ in range(3))
-    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b), (2, c)], "doc_id long, text string").repartition(3)
+    upper = a.upper()  # the same fingerprint, smaller in code point order
+    docs = spark.createDataFrame([(1, a), (1, upper), (1, b), (1, b), (2, b), (2, c)], "doc_id int, text string").withColumn("tags", F.create_map(F.lit("k"), F.lit(1))).repartition(3)
     kept = simhash.drop_duplicates(docs).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (2, c)])
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, upper), (1, b), (2, c)])
