@@ -101,11 +101,12 @@ def test_audit_and_edges(spark):
     assert embed_dups.near_duplicates(vectors.limit(0)).collect() == [] and embed_dups.audit(vectors.limit(0), found) == (0, 0)
 
 
-@pytest.mark.parametrize("blocks", [(4096, 32_768), (7, 50)])
-def test_topk(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[1])
+@pytest.mark.parametrize("size", [1024, 16])
+def test_topk(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "LEAST_BLOCK", size)
+    monkeypatch.setattr(topk, "BLOCK", size)
     monkeypatch.setattr(topk, "STEP", 32)
+    monkeypatch.setattr(topk, "SAMPLE", 60)
     vectors = sets(np.random.default_rng(3), 4, 30, 200).tolist()
     vectors += [vectors[0]] * 15 + [[0.0] * 8] + [v for v in ODD if v is None or v != [0.0] * 8]
     rows = list(enumerate(vectors))
@@ -119,6 +120,23 @@ def test_topk(spark, monkeypatch, blocks):
         assert sorted(got[q]) == [(k + 1, -s, i) for k, (s, i) in enumerate(order)]
 
 
+@pytest.mark.parametrize("size", [2.0**16, 2.0**20, 2.0**26, 2.0**60, 1e290])
+def test_topk_is_exact_for_large_components(spark, size):
+    rng = np.random.default_rng(11)
+    rows = list(enumerate((size * rng.normal(size=(40, 8))).tolist()))
+    ints = {i: [int(x) for x in np.floor(1024 * np.array(v))] for i, v in rows}
+    got = {}
+    for r in topk.search(frame(spark, rows), F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    for q in (0, 10, 20, 30):
+        order = sorted((-clip(sum(a * b for a, b in zip(ints[q], ints[i]))), i) for i in ints if i != q)[:10]
+        mine = sorted(got[q])
+        assert [(r, s) for r, s, _ in mine] == [(k + 1, -s) for k, (s, _) in enumerate(order)]
+        if size < 2.0**21:
+            assert [i for *_, i in mine] == [i for _, i in order]
+
+
 def test_topk_few_rows(spark):
     few = frame(spark, [(0, [1.0, 2.0]), (100, [1.0]), (7, [3.0, -1.0]), (None, [9.0, 9.0])])
     got = sorted(tuple(r) for r in topk.search(few, F.col("vec_id") % 100 == 0).collect())
