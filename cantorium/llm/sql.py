@@ -70,23 +70,28 @@ from final"""
 
 def _canonical(text: str) -> str:
     plain = f"lower(coalesce({text}, ''))"
-    plain = f"regexp_replace({plain}, '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright (?:\\(c\\)|©|[0-9])|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
+    plain = f"regexp_replace({plain}, '(?m){licenses.COPYRIGHT}', '\\1', 'g')"
     plain = f"regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
-    for left, right in licenses.SPELLINGS:
+    for left, right in licenses._WORDS:
         plain = f"replace({plain}, '{left}', '{right}')"
     return f"trim(regexp_replace({plain}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
 
 def _digest(plain: str) -> str:
-    return f"case when {plain} <> '' then sha256(replace({plain}, chr(10), ' ')) end"
+    flat = f"replace({plain}, chr(10), ' ')"
+    for left, right in licenses._PHRASES:
+        flat = f"replace({flat}, '{left}', '{right}')"
+    return f"case when {plain} <> '' then sha256({flat}) end"
 
 
 def _licenses() -> str:
-    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN)
+    texts = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.variants())
+    digests = ", ".join(f"({_quoted(name)}, {_quoted(d)})" for name, d in licenses.KNOWN_DIGESTS)
     return f"""
-with known_texts(licence, known_text) as (values {rows}),
+with known_texts(licence, known_text) as (values {texts}),
+known_digests(licence, known_digest) as (values {digests}),
 known_plain as (select licence, {_canonical("known_text")} as plain from known_texts),
-known as (select {_digest("plain")} as known_digest, min(licence) as licence from known_plain group by 1),
+known as (select known_digest, min(licence) as licence from (select licence, {_digest("plain")} as known_digest from known_plain union all from known_digests) group by 1),
 plain as (select row_number() over () as row_id, doc_id, {_canonical("text")} as plain from documents),
 whole as (select row_id, doc_id, {_digest("plain")} as text_digest from plain),
 lines as (select row_id, unnest(string_split(plain, chr(10))) as line from plain),
