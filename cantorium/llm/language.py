@@ -2,12 +2,15 @@
 
 The n-grams of one to three characters of the lower-cased text are hashed to a fixed number of features. Counts by
 language, smoothed, give a matrix of log-probabilities that is sent to every task; a text's score for a language is the
-sum of its features' entries plus the language's log share. Learned from a bounded sample of the rows with a language
-(about MOST_ROWS, by hashes of ids); every text is scored in full.
+sum of its features' entries plus the language's log share, over all rows with a language. Counts come from a bounded
+sample that is drawn language by language (about MOST_ROWS / languages rows each, and all rows of a language that has no
+more), by hashes of ids, so that rare languages stay. Every text is scored in full: a batch of texts is a sparse matrix of
+feature counts, whose entries are multiplied by the rows of the matrix and summed text by text.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text if no row has a language;
 null doc_ids are scored and never learned from; repeated rows have one row each; an empty table gives no rows; ties go
-to the first language in code point order; further columns of any name are ignored.
+to the first language in code point order; more than MOST_LANGUAGES different languages are an error, as the matrix grows
+with them; further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 MOST_ROWS = 20_000
-#: Characters at a time, so that a very long text needs no more memory than a long one.
+#: Languages that a model takes; its matrix then has 128 MB.
+MOST_LANGUAGES = 512
+#: Characters of a batch, and of a very long text, that are scored at a time.
 CHARACTERS_AT_ONCE = 1 << 20
 UNDETERMINED = "und"
 
@@ -59,55 +64,82 @@ def train(docs: DataFrame, learn: Column | None = None, most: int = MOST_ROWS) -
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if learn is not None:
         known = known.filter(learn)
-    total = known.count()
-    steps = 1 << 30
-    if total > most:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(steps * (most / total)))
+    shares = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(shares) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different languages")
+    each = max(1, most // max(1, len(shares)))
+    often = {lang: each / n for lang, n in shares.items() if n > each}
+    if often:
+        steps = 1 << 30
+        part = F.try_element_at(F.create_map(*[F.lit(v) for lang, share in sorted(often.items()) for v in (lang, int(steps * share))]), F.col("lang"))
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.coalesce(part, F.lit(steps)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = sums.setdefault(lang, np.zeros(1 << FEATURE_BITS, np.int64))
-                rows[lang] = rows.get(lang, 0) + 1
                 for x in _features(text.as_py() or ""):
                     own += np.bincount(x, minlength=1 << FEATURE_BITS)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
-            at, n = np.concatenate([[-1], at]), np.concatenate([[rows[lang]], own[at]])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n)], ["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "feature", "n"])
 
     counts = known.select("text", "lang").mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most languages x features rows
-    names = tuple(sorted(set(table["lang"].to_pylist())))
+    names = tuple(sorted(shares))
     place = {name: k for k, name in enumerate(names)}
+    full, rows = np.full((1 << FEATURE_BITS, len(names)), SMOOTHING), np.array([shares[name] for name in names], float)
     column = np.array([place[x] for x in table["lang"].to_pylist()], int)
-    feature, n = table["feature"].to_numpy(), table["n"].to_numpy()
-    full, rows = np.full((1 << FEATURE_BITS, len(names)), SMOOTHING), np.zeros(len(names))
-    real = feature >= 0
-    full[feature[real], column[real]] += n[real]
-    rows[column[~real]] = n[~real]
+    full[table["feature"].to_numpy(), column] += table["n"].to_numpy()
     log_p = np.log(full / full.sum(0)) if names else full
     return Model(names, np.log(rows / rows.sum()) if names else rows, log_p.astype(np.float32))
 
 
+def posteriors(texts: list[str], model: Model) -> np.ndarray:
+    """Log-probabilities (texts x languages) of a batch, from the sparse counts of its features."""
+    total = np.repeat(model.prior[None], len(texts), axis=0)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def add() -> None:
+        if not held:
+            return
+        # keys of (text, feature) with their counts: the batch's sparse matrix, by text
+        keys = np.concatenate([x.astype(np.int64) + (r << FEATURE_BITS) for r, x in held])
+        keys, n = np.unique(keys, return_counts=True)
+        row, feature = keys >> FEATURE_BITS, keys & ((1 << FEATURE_BITS) - 1)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        parts = model.log_p[feature] * n[:, None]
+        np.add.at(total, row[first], np.add.reduceat(parts, first, axis=0, dtype=np.float64))
+        held.clear()
+
+    size = 0
+    for r, text in enumerate(texts):
+        for x in _features(text):
+            held.append((r, x))
+            size += len(x)
+            if size >= CHARACTERS_AT_ONCE:
+                add()
+                size = 0
+    add()
+    return total
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (posterior of the prediction) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def one(text: str | None, model: Model) -> tuple[str, float]:
-        if not text or not model.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total = model.prior.copy()
-        for x in _features(text):
-            total += model.log_p.take(x, axis=0).sum(0, dtype=np.float64)
-        best = int(total.argmax())
-        return model.languages[best], float(1 / np.exp(total - total[best]).sum())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            found = [one(t.as_py(), shared.value) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            texts = batch.column(1).to_pylist()
+            able = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
+            names, sure = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+            if able:
+                total = posteriors([texts[i] for i in able], model)
+                best = total.argmax(1)
+                names[able] = np.array(model.languages, object)[best]
+                sure[able] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")

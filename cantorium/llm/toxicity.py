@@ -4,11 +4,13 @@ Features of a text are its words, pairs of neighbouring words and pairs of words
 number of coordinates, each counted once. Every coordinate has its own learning rate, and the L1 term keeps most weights
 at zero, so the model is a short list of coordinates and weights that is sent to every task.
 
-Training is sequential, so it runs in one task over a bounded sample of the labelled rows (MOST_ROWS, those whose ids'
-hashes are smallest); scoring covers every text in full. Scores depend on the text alone.
+Training is sequential, so it runs in one task over a bounded sample of the labelled rows: at most MOST_ROWS rows, those
+whose hashes are smallest, with one for each different text of an id, and of their features at most MOST_FEATURES
+coordinates, in that order (a row that would exceed them is left out). Scoring covers every text in full. Scores depend
+on the text alone.
 
 Defined results: a null or empty text has no features and scores the model's bias; null doc_ids are scored and never
-learned from; repeated rows have one row each; without labels every score is 0.5; an empty table gives no rows; further
+learned from; repeated rows have one row each, and are learned from once; of two labels of an id the greater holds; without labels every score is 0.5; an empty table gives no rows; further
 columns of any name are ignored.
 """
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 20
 MOST_ROWS = 16_384
+#: Coordinates that the training task holds, 4 bytes each.
+MOST_FEATURES = 1 << 25
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 THRESHOLD = 0.3
@@ -91,7 +95,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST_ROWS) -> DataFrame:
-    """text, toxic, place of at most `most` labelled documents, those whose ids' hashes are smallest. learn: which ids may be used."""
+    """text, toxic, place of at most `most` labelled rows, those whose ids' hashes are smallest. learn: which ids may be used."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     if learn is not None:
@@ -100,25 +104,36 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most
     marks = marks.orderBy("place", "doc_id").limit(most)
     marks = marks.select(F.col("doc_id").alias("marked_id"), "toxic", "place")
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(marks), F.col("text_id") == F.col("marked_id")).select("text", "toxic", "place")  # at most `most` small rows
+    found = texts.join(F.broadcast(marks), F.col("text_id") == F.col("marked_id"))  # at most `most` small rows
+    found = found.withColumn("text_place", F.xxhash64("text"))
+    # an id may have many rows: first the equal ones go, then what is over the bound, by a sort that keeps `most` rows a task
+    kept = found.select("text_id", "text_place", "toxic", "place").distinct().orderBy("place", "text_id", "text_place").limit(most)
+    kept = kept.select(F.col("text_id").alias("kept_id"), F.col("text_place").alias("kept_place"))
+    same = (F.col("text_id") == F.col("kept_id")) & (F.col("text_place") == F.col("kept_place"))
+    return found.join(F.broadcast(kept), same, "left_semi").select("text", "toxic", "place", "text_place")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> Model:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t.as_py()).tobytes() for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), *batch.columns[1:]], ["x", "toxic", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), *batch.columns[1:]], ["x", "toxic", "place", "text_place"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, held, last = [], 0, None
         for batch in batches:
-            rows += [(np.frombuffer(x.as_py(), np.uint32), y) for x, y in zip(batch.column(0), batch.column(1).to_pylist())]
+            for x, y, place, text_place in zip(*(batch.column(i) for i in range(4))):
+                n = len(x.as_py()) // 4
+                if (place, text_place) == last or held + n > most_features:
+                    continue
+                rows.append((np.frombuffer(x.as_py(), np.uint32), y.as_py()))
+                held, last = held + n, (place, text_place)
         model = fit(rows)
         at = np.concatenate([[-1], model.coordinates]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([[model.bias], model.weights]).astype(np.float64))], ["at", "weight"])
 
-    rows = sample(docs, labels, learn, most).mapInArrow(read, "x binary, toxic int, place long")
-    weights = rows.repartition(1).sortWithinPartitions("place", "x").mapInArrow(learned, "at int, weight double").collect()
+    rows = sample(docs, labels, learn, most).mapInArrow(read, "x binary, toxic int, place long, text_place long")
+    weights = rows.repartition(1).sortWithinPartitions("place", "text_place").mapInArrow(learned, "at int, weight double").collect()
     bias = next((r.weight for r in weights if r.at < 0), 0.0)
     own = sorted((r.at, r.weight) for r in weights if r.at >= 0)
     return Model(bias, np.array([a for a, _ in own], np.int32), np.array([w for _, w in own], np.float32))
