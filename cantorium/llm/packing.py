@@ -2,8 +2,9 @@
 
 Each document's ids are cut into pieces of the context length and, for the rest, one piece for each set bit of its
 length, longest first. A piece is a sequence of its own: its length is a power of two, so it needs no padding, and no
-sequence crosses documents. Pieces of equal length form a bucket, from which batches of one shape can be read.
-Cutting needs no shuffle: documents are tokenised where they are read.
+sequence crosses documents. Pieces of equal length form a bucket; write_buckets() lays a table of pieces out with a folder
+for each bucket, so that a reader of one shape reads no other. Cutting and writing need no shuffle: documents are
+tokenised where they are read, and a task writes its pieces bucket by bucket.
 
 Defined results: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed each on
 its own; an empty table gives no pieces; further columns of any name are ignored.
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cantorium.llm.tokens import END, encoder
 
@@ -81,6 +83,13 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, tokenizer: str | None =
     )
 
 
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Write pieces under path, a folder for each bucket, and read them back; a filter on bucket reads its folder alone."""
+    pieces.write.partitionBy("bucket").parquet(path)
+    schema = [f for f in pieces.schema.fields if f.name != "bucket"] + [pieces.schema["bucket"]]
+    return pieces.sparkSession.read.schema(T.StructType(schema)).parquet(path)
+
+
 def tokens(piece_ids: bytes) -> np.ndarray:
     """The ids of a piece as numbers."""
     return np.frombuffer(piece_ids, "<u4")

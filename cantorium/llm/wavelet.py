@@ -1,12 +1,15 @@
 """Token ids as wavelet matrices: succinct bit planes that answer access, rank, select and count.
 
 A shard is one compressed file, here the binary payload of one row of a Parquet table, so that Spark's commit protocol
-covers it on any store: a header, the doc_ids and lengths of its documents, the shard's own ids in ascending order, and
-blocks of at most BLOCK symbols, the ids' places in that order. A block holds a plane of bits for each bit of a symbol,
-highest first; each plane orders the ids as the plane before sorts them
-by its bit, stably. Ranks are counted from a directory of 512-bit superblocks.
+covers it on any store: a header; the places of its frames; a frame with the doc_ids and lengths of its documents and the
+shard's own ids in ascending order; and a frame for each block of at most BLOCK symbols, the ids' places in that order.
+Frames are compressed one by one, so a question about a token opens the blocks that it needs and no other.
 
-Documents go to shards in ascending order of doc_id (a range partitioning, sorted within partitions), null ids first.
+A block holds a plane of bits for each bit of a symbol, highest first; each plane orders the ids as the plane before sorts
+them by its bit, stably. With each plane goes its rank directory, the ones before each superblock of 512 bits.
+
+Documents go to shards in ascending order of doc_id, then of their texts' hash (a range partitioning by both, so that no id
+is one task's alone, sorted within partitions), null ids first.
 Defined results: a null or empty text is the end id alone; repeated rows are stored each on its own, equal ids in
 order of their texts' hash; an empty table gives no shards; further columns of any name are ignored.
 """
@@ -26,20 +29,46 @@ from pyspark.sql import functions as F
 from cantorium.llm.tokens import END, encoder
 from cantorium.session import materialize
 
-MAGIC = b"CWMX0001"
+MAGIC = b"CWMX0002"
 BLOCK = 1 << 17
 SHARD_TOKENS = 1 << 21
 _SUPER = 512
-_HEAD = struct.Struct("<8sIIQ")
-_NO_ID = -(1 << 63)
+#: Magic, documents, those without an id (they come first), symbols, tokens.
+_HEAD = struct.Struct("<8sIIIQ")
 
 
 class WaveletMatrix:
     """A sequence of ids below 2**bits over packed bit planes."""
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int], ranks: list[np.ndarray] | None = None):
         self.n, self.bits, self.planes, self.zeros = n, bits, planes, zeros
-        self._ranks: list[np.ndarray | None] = [None] * bits
+        self.ranks = ranks if ranks is not None else [self._directory(p) for p in planes]
+
+    @staticmethod
+    def _directory(plane: np.ndarray) -> np.ndarray:
+        """Ones before each superblock of a plane."""
+        padded = np.zeros(-(-max(len(plane), 1) // (_SUPER // 8)) * (_SUPER // 8), np.uint8)
+        padded[: len(plane)] = plane
+        ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, _SUPER // 64).sum(1, dtype=np.uint32)
+        return np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+
+    @classmethod
+    def load(cls, n: int, bits: int, body: bytes) -> WaveletMatrix:
+        """From what dump() gave."""
+        size, supers = -(-n // 8), -(-max(-(-n // 8), 1) // (_SUPER // 8)) + 1
+        zeros, at = np.frombuffer(body, "<u4", bits).tolist(), 4 * bits
+        planes, ranks = [], []
+        for _ in range(bits):
+            planes.append(np.frombuffer(body, np.uint8, size, at))
+            ranks.append(np.frombuffer(body, "<u4", supers, at + size))
+            at += size + 4 * supers
+        return cls(n, bits, planes, zeros, ranks)
+
+    def dump(self) -> bytes:
+        parts = [np.array(self.zeros, "<u4").tobytes()]
+        for plane, ranks in zip(self.planes, self.ranks):
+            parts += [plane.tobytes(), ranks.tobytes()]
+        return b"".join(parts)
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -59,15 +88,9 @@ class WaveletMatrix:
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before position i of a plane."""
-        if self._ranks[level] is None:
-            plane = self.planes[level]
-            padded = np.zeros(-(-max(len(plane), 1) // (_SUPER // 8)) * (_SUPER // 8), np.uint8)
-            padded[: len(plane)] = plane
-            ones = np.bitwise_count(padded).reshape(-1, _SUPER // 8).sum(1, dtype=np.int64)
-            self._ranks[level] = np.concatenate([[0], np.cumsum(ones)])
         block, rest = divmod(i, _SUPER)
         at = block * (_SUPER // 8)
-        got = int(self._ranks[level][block])
+        got = int(self.ranks[level][block])
         whole, part = divmod(rest, 8)
         got += int(np.bitwise_count(self.planes[level][at : at + whole]).sum())
         if part:
@@ -140,59 +163,88 @@ class WaveletMatrix:
 
 
 class Shard:
-    """The file of one shard, opened from its bytes."""
+    """The file of one shard, opened from its bytes; blocks are decompressed when they are asked for."""
 
     def __init__(self, payload: bytes):
-        magic, docs, symbols, self.n = _HEAD.unpack_from(payload)
+        magic, docs, unnamed, symbols, self.n = _HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        body = zstandard.ZstdDecompressor().decompress(payload[_HEAD.size :])
+        frames = -(-self.n // BLOCK) + 1
+        self._ends = np.frombuffer(payload, "<u8", frames + 1, _HEAD.size).tolist()
+        self._payload, self._opened, self.bits = payload, {}, _bits(symbols)
+        body = self._frame(0)
+        self.unnamed = unnamed  # so many documents, the first ones, have no id; 0 stands for it
         self.doc_ids = np.frombuffer(body, "<i8", docs)
         self.lengths = np.frombuffer(body, "<i8", docs, 8 * docs)
         self.symbols = np.frombuffer(body, "<u4", symbols, 16 * docs)
-        bits = _bits(symbols)
-        self.blocks, at = [], 16 * docs + 4 * symbols
-        for first in range(0, self.n, BLOCK):
-            n = min(BLOCK, self.n - first)
-            zeros = np.frombuffer(body, "<i8", bits, at).tolist()
-            at, planes = at + 8 * bits, []
-            for _ in range(bits):
-                planes.append(np.frombuffer(body, np.uint8, -(-n // 8), at))
-                at += -(-n // 8)
-            self.blocks.append(WaveletMatrix(n, bits, planes, zeros))
+
+    def _frame(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self._payload[self._ends[k] : self._ends[k + 1]])
+
+    def block(self, k: int) -> WaveletMatrix:
+        if k not in self._opened:
+            self._opened[k] = WaveletMatrix.load(min(BLOCK, self.n - k * BLOCK), self.bits, self._frame(k + 1))
+        return self._opened[k]
+
+    @property
+    def blocks(self) -> range:
+        return range(-(-self.n // BLOCK))
 
     @staticmethod
-    def dump(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
+    def dump(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+        """Documents without an id come first."""
         present = np.zeros(int(ids.max(initial=0)) + 1, bool)
         present[ids] = True
         symbols = np.flatnonzero(present)
         place = np.cumsum(present) - 1
         codes, bits = place.astype(np.uint16 if len(symbols) <= 1 << 16 else np.uint32)[ids], _bits(len(symbols))
-        parts = [np.array(doc_ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), symbols.astype("<u4").tobytes()]
-        for first in range(0, len(ids), BLOCK):
-            matrix = WaveletMatrix.build(codes[first : first + BLOCK], bits)
-            parts.append(np.array(matrix.zeros, "<i8").tobytes())
-            parts += [p.tobytes() for p in matrix.planes]
-        return _HEAD.pack(MAGIC, len(doc_ids), len(symbols), len(ids)) + zstandard.ZstdCompressor(1).compress(b"".join(parts))
+        named = np.array([d or 0 for d in doc_ids], "<i8")
+        parts = [named.tobytes() + np.array(lengths, "<i8").tobytes() + symbols.astype("<u4").tobytes()]
+        parts += [WaveletMatrix.build(codes[first : first + BLOCK], bits).dump() for first in range(0, len(ids), BLOCK)]
+        frames = [zstandard.ZstdCompressor(1).compress(p) for p in parts]
+        ends = _HEAD.size + 8 * (len(frames) + 1) + np.concatenate([[0], np.cumsum([len(f) for f in frames])])
+        head = _HEAD.pack(MAGIC, len(doc_ids), sum(d is None for d in doc_ids), len(symbols), len(ids))
+        return b"".join([head, ends.astype("<u8").tobytes(), *frames])
 
     def _symbol(self, token: int) -> int | None:
         at = int(np.searchsorted(self.symbols, token))
         return at if at < len(self.symbols) and self.symbols[at] == token else None
 
     def access(self, i: int) -> int:
-        return int(self.symbols[self.blocks[i // BLOCK].access(i % BLOCK)])
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return int(self.symbols[self.block(i // BLOCK).access(i % BLOCK)])
+
+    def rank(self, token: int, i: int) -> int:
+        """Occurrences of a token before position i."""
+        symbol, whole = self._symbol(token), min(i, self.n) // BLOCK
+        if symbol is None:
+            return 0
+        rest = min(i, self.n) - whole * BLOCK
+        return sum(self.block(k).count(symbol) for k in range(whole)) + (self.block(whole).rank(symbol, rest) if rest else 0)
 
     def count(self, token: int) -> int:
-        symbol = self._symbol(token)
-        return 0 if symbol is None else sum(b.count(symbol) for b in self.blocks)
+        return self.rank(token, self.n)
+
+    def select(self, token: int, k: int) -> int:
+        """Position of the token's k-th occurrence, from 0."""
+        symbol, left = self._symbol(token), k
+        if symbol is None or k < 0:
+            raise IndexError(k)
+        for at in self.blocks:
+            here = self.block(at).count(symbol)
+            if left < here:
+                return at * BLOCK + self.block(at).select(symbol, left)
+            left -= here
+        raise IndexError(k)
 
     def locate(self, token: int) -> list[int]:
         symbol = self._symbol(token)
-        return [] if symbol is None else [k * BLOCK + at for k, b in enumerate(self.blocks) for at in b.locate(symbol)]
+        return [] if symbol is None else [k * BLOCK + at for k in self.blocks for at in self.block(k).locate(symbol)]
 
     def decode(self) -> np.ndarray:
         """All ids, as little-endian unsigned 32-bit numbers."""
-        return self.symbols[np.concatenate([b.decode() for b in self.blocks])] if self.blocks else np.zeros(0, "<u4")
+        return self.symbols[np.concatenate([self.block(k).decode() for k in self.blocks])] if self.n else np.zeros(0, "<u4")
 
 
 def _bits(symbols: int) -> int:
@@ -211,7 +263,7 @@ def write_shards(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, tokenizer: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         part, shard = TaskContext.get().partitionId(), 0
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
         start = n = 0
@@ -224,7 +276,7 @@ def write_shards(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, tokenizer: s
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 ids = np.frombuffer(encode(text.as_py()) + END, "<u4")
-                doc_ids.append(_NO_ID if doc is None else doc)
+                doc_ids.append(doc)
                 lengths.append(len(ids))
                 held.append(ids)
                 n += len(ids)
@@ -235,7 +287,8 @@ def write_shards(docs: DataFrame, shard_tokens: int = SHARD_TOKENS, tokenizer: s
             yield flush()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    place = F.xxhash64("text")
+    ordered = own.repartitionByRange("doc_id", place).sortWithinPartitions("doc_id", place)
     return materialize(ordered.mapInArrow(run, _SHARDS), "wavelet-shards")
 
 
@@ -259,7 +312,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 at = before[part.as_py()] + start.as_py()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == _NO_ID),
+                        pa.array(shard.doc_ids, pa.int64(), mask=np.arange(len(shard.doc_ids)) < shard.unnamed),
                         pa.array(at + ends - shard.lengths, pa.int64()),
                         pa.array([raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), shard.lengths.tolist())], pa.binary()),
                     ],

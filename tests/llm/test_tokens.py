@@ -52,6 +52,17 @@ def test_pack_round_trip(spark, docs, whole):
     assert sum(r.length for r in rows if r.doc_id is None) == len(whole("no id")) + 1
 
 
+def test_buckets_have_folders_of_their_own(spark, docs, tmp_path):
+    pieces = packing.pack(docs)
+    laid = packing.write_buckets(pieces, str(tmp_path / "pieces"))
+    own = lambda rows: sorted((r.doc_id or -1, r.start, bytes(r.ids), r.bucket) for r in rows)
+    assert own(laid.collect()) == own(pieces.collect())
+    some = laid.filter("bucket = 2")
+    assert some.count()
+    read = {r.f for r in some.selectExpr("input_file_name() as f").collect()}
+    assert all("bucket=2/" in f for f in read) and all(r.length == 4 for r in some.collect())
+
+
 def test_pack_empty(spark, docs):
     assert packing.pack(docs.limit(0)).collect() == []
 
@@ -76,6 +87,21 @@ def test_shard_file_answers(rng=np.random.default_rng(4)):
     token = int(ids[-1])
     assert shard.locate(token) == np.flatnonzero(ids == token).tolist() and shard.access(n - 1) == token
     assert shard.count(token) == int((ids == token).sum())
+    where = np.flatnonzero(ids == token).tolist()
+    assert [shard.select(token, k) for k in range(len(where))] == where
+    assert [shard.rank(token, i) for i in (0, 5, wavelet.BLOCK, n - 1, n)] == [sum(w < i for w in where) for i in (0, 5, wavelet.BLOCK, n - 1, n)]
+    for wrong in (-1, len(where)):
+        with pytest.raises(IndexError):
+            shard.select(token, wrong)
+    one = wavelet.Shard(wavelet.Shard.dump([4, 9], [100, n - 100], ids))
+    assert one.access(wavelet.BLOCK + 5) == ids[wavelet.BLOCK + 5] and list(one._opened) == [1]  # no other block was opened
+
+
+def test_smallest_id_and_missing_ids(spark):
+    low = -(1 << 63)
+    docs = spark.createDataFrame([(low, "a"), (None, "b"), (0, "c"), (None, "d")], "doc_id long, text string").repartition(2)
+    rows = sorted(wavelet.read_documents(wavelet.write_shards(docs)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, low, 0]
 
 
 def test_wavelet_round_trip(spark, docs, whole):
