@@ -5,13 +5,19 @@ may lead to, so shards overlap and both ends of every link share one: two nodes
 either side of the plane midway between these, and if they are within the threshold's angle, one of them is within half
 of it of that plane. Centres nearer to each other than that angle are one, so a hot group is not torn. A cluster that is
 too large for one task is dealt into parts, and every pair of parts is a shard, so none of its links is out of reach.
-Where vectors have so little structure that shards would mostly overlap, all nodes are one cluster in parts. In
-each shard a node's nearest nodes and some far ones are pruned robustly to a short adjacency list; a node's lists from all
-its shards are united. A greedy search enters a shard's graph at medoids and at the query's own node, walks towards the
-query, then expands through everything in range. What it finds is checked in double precision.
+Where vectors have so little structure that shards would mostly overlap, all nodes are one cluster in parts.
+
+In each shard a node's nearest nodes and some far ones are pruned robustly to a short adjacency list, to which the nearest
+of those that list it are added; a node's lists from all its shards are united, and cut to bounded length in each shard
+that reads them. A greedy search enters a shard's graph at medoids alone and walks towards the query; a query whose own
+node it did not meet goes on from there too. Then it expands through everything in range. What it finds is checked in
+double precision.
+
+Every run is audited: the links of a bounded sample of rows are found by brute force against all rows. A recall under
+LEAST_RECALL makes the run search its shards exhaustively instead, which finds all links, as both ends share a shard.
 
 Links inside a cluster are handed on as counts for each node and a spanning forest, links across clusters as pairs, so a
-group of b near copies in one cluster gives about b rows. audit() measures recall against brute force on a sample.
+group of b near copies in one cluster gives about b rows.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; a null id keeps a null component and is never the smallest id; repeated rows link with
@@ -20,6 +26,7 @@ each other like any equal vectors; an empty table gives no rows; further columns
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantorium.llm.components import components
+from cantorium.llm.rows import attach, sampled
 from cantorium.llm.simhash import _forest
 from cantorium.llm.vectors import as_double, usable
 from cantorium.session import materialize
@@ -36,14 +44,18 @@ from cantorium.session import materialize
 THRESHOLD = 0.95
 #: Nodes that a shard should have, and the most that one part of a cluster may have.
 SHARD, PART = 800, 4096
-MOST_CENTRES = 1024
-#: Nodes, by hashes of ids, on which centres are fitted.
-CENTRE_SAMPLE = 20_000
-NEAREST, FAR, DEGREE, FAR_DEGREE, ALPHA = 40, 12, 16, 6, 1.2
+MOST_CENTRES = 4096
+#: Nodes, by hashes, on which centres are fitted: 20,000, or more for many centres, but never more bytes than this.
+CENTRE_SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
+NEAREST, FAR, DEGREE, FAR_DEGREE, REVERSE, ALPHA = 40, 12, 16, 6, 16, 1.2
+#: Longest list that a search reads.
+WIDTH = 96
 MEDOIDS, HOPS, SLACK = 8, 16, 0.05
 QUERIES = 256
 #: Rows whose links an audit finds by brute force.
 AUDITED = 64
+LEAST_RECALL = 0.9
+_log = logging.getLogger(__name__)
 
 
 def fit_centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -130,7 +142,26 @@ def adjacency(x: np.ndarray) -> np.ndarray:
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
         away = rng.integers(0, n, (len(rows), far))
         found.append(np.concatenate([_pruned(x, rows, top, DEGREE), _pruned(x, rows, away, FAR_DEGREE)], axis=1))
-    return np.concatenate(found)
+    forward = np.concatenate(found)
+    return np.concatenate([forward, _reverse(x, forward)], axis=1)
+
+
+def _reverse(x: np.ndarray, forward: np.ndarray) -> np.ndarray:
+    """For every row the REVERSE nearest of the rows that list it, -1 for none."""
+    listed = np.full((len(forward), REVERSE), -1)
+    at, place = np.nonzero(forward >= 0)
+    to = forward[at, place]
+    order = np.lexsort((at, -np.einsum("id,id->i", x[at], x[to]), to))
+    at, to = at[order], to[order]
+    rank = np.arange(len(to)) - np.searchsorted(to, to)
+    near = rank < REVERSE
+    listed[to[near], rank[near]] = at[near]
+    return listed
+
+
+def _cut(x: np.ndarray, row: int, near: np.ndarray) -> np.ndarray:
+    """The WIDTH nearest of a row's list."""
+    return near if len(near) <= WIDTH else near[np.argsort(-(x[near] @ x[row]), kind="stable")[:WIDTH]]
 
 
 def medoids(x: np.ndarray) -> np.ndarray:
@@ -168,7 +199,6 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, th
 
         first = np.zeros((q, n), bool)
         first[:, enter] = True
-        first[np.arange(q), own] = True
         meet(first)
         for _ in range(HOPS):
             best = np.where(open_, sims, -np.inf).argmax(1)
@@ -176,6 +206,9 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, th
             if not len(able):
                 break
             expand(able, best[able])
+        missed = np.zeros((q, n), bool)
+        missed[np.arange(q), own] = True
+        meet(missed)
         while True:
             a, b = np.nonzero(open_ & (sims >= threshold - SLACK))
             if not len(a):
@@ -185,27 +218,45 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, th
         yield own[a[own[a] != b]], b[own[a] != b]
 
 
-_PLACED = "cluster int, main boolean, node long, n long, e array<double>"
+def exhaustive(x: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What range_search() gives, by trying all."""
+    for at in range(0, len(queries), QUERIES):
+        own = queries[at : at + QUERIES]
+        a, b = np.nonzero(x[own] @ x.T >= threshold - 1e-9)
+        sure = (np.einsum("id,id->i", x[own[a]], x[b]) >= threshold) & (own[a] != b)
+        yield own[a[sure]], b[sure]
 
 
-def _place(nodes: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
-    """Each node in the clusters of places(); main: the nearest. Vectors are scaled to length 1."""
+_PLACED = "cluster long, main boolean, node long, n long, e array<double>"
+#: Clusters of vectors of one length are numbered from the length times this on.
+_LENGTH = 1 << 20
+
+
+def _scaled(e: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1."""
+    e = e / np.abs(e).max(1, keepdims=True)  # no overflow below
+    return e / np.linalg.norm(e, axis=1, keepdims=True)
+
+
+def _place(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Each node in the clusters of places(); main: the nearest. Vectors are scaled to length 1; a length without centres has one cluster."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                e = np.stack(batch.column(2).to_numpy(zero_copy_only=False))
-                e = e / np.abs(e).max(1, keepdims=True)  # no overflow below
-                e = e / np.linalg.norm(e, axis=1, keepdims=True)
-                main, held = places(e, centres, threshold)
-                row, cluster = np.nonzero(held)
-                vectors = pa.FixedSizeListArray.from_arrays(pa.array(e[row].reshape(-1)), e.shape[1]).cast(pa.list_(pa.float64()))
-                took = pa.array(row)
-                arrays = [pa.array(cluster.astype(np.int32)), pa.array(main[row] == cluster), batch.column(0).take(took), batch.column(1).take(took), vectors]
-                yield pa.RecordBatch.from_arrays(arrays, ["cluster", "main", "node", "n", "e"])
+            lengths = whole.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == length)
+                known = shared.value.get(length)
+                for at in range(0, len(own), 1024):
+                    batch = whole.take(pa.array(own[at : at + 1024]))
+                    e = _scaled(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, length))
+                    main, held = places(e, known, threshold) if known is not None else (np.zeros(len(e), int), np.ones((len(e), 1), bool))
+                    row, cluster = np.nonzero(held)
+                    vectors = pa.FixedSizeListArray.from_arrays(pa.array(e[row].reshape(-1)), length).cast(pa.list_(pa.float64()))
+                    took = pa.array(row)
+                    arrays = [pa.array(cluster + length * _LENGTH), pa.array(main[row] == cluster), batch.column(0).take(took), batch.column(1).take(took), vectors]
+                    yield pa.RecordBatch.from_arrays(arrays, ["cluster", "main", "node", "n", "e"])
 
     return nodes.select("node", "n", "e").mapInArrow(run, _PLACED)
 
@@ -214,48 +265,57 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.stack(rows.to_numpy()).astype(float)
 
 
-def _links_of_dimension(nodes: DataFrame, threshold: float) -> DataFrame:
-    """kind, a, b, n: links among nodes (node, n, e) of one vector length.
+def _centres(nodes: DataFrame, threshold: float) -> dict[int, np.ndarray]:
+    """Centres by vector length, fitted on a bounded sample of the nodes (node, n, e)."""
+    totals = {r[0]: r[1] for r in nodes.groupBy(F.size("e")).count().collect()}  # a row for each length
+    most = sum(totals.values())
+    wide = sum(length * n for length, n in totals.items()) / max(most, 1)
+    wanted = max(CENTRE_SAMPLE, 16 * min(MOST_CENTRES, most // SHARD))
+    drawn: dict[int, list] = {}
+    for r in sampled(nodes.select("node", "e"), F.col("node"), most, int(min(wanted, SAMPLE_BYTES / (8 * max(wide, 1))))).collect():
+        drawn.setdefault(len(r.e), []).append((r.node, r.e))
+    found = {}
+    for length, own in drawn.items():
+        own.sort()
+        k = max(1, min(MOST_CENTRES, totals[length] // SHARD, len(own) // 8))
+        found[length] = choose_centres(_scaled(np.array([e for _, e in own], float)), k, totals[length], threshold)
+    return found
+
+
+def _dealt(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Nodes by shard: cluster, p, q, part, main, node, n, e. A shard is a cluster, or two parts of one that is too large for a task."""
+    placed = materialize(_place(nodes, _centres(nodes, threshold), threshold), "dup-places")
+    large = placed.groupBy("cluster").count().filter(F.col("count") > PART)  # at most MOST_CENTRES rows for each length
+    large = large.select("cluster", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).select("cluster", "p", "q", "part", "main", "node", "n", "e")
+
+
+def _links(dealt: DataFrame, threshold: float, by_graph: bool = True) -> DataFrame:
+    """kind, a, b, n: links among nodes by shard.
 
     kind 0: node a has n rows linked to it inside its cluster; 1: a pair of a cluster's spanning forest; 2: a link across clusters.
     """
-    total = nodes.count()
-    k = max(1, min(MOST_CENTRES, total // SHARD))
-    drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(CENTRE_SAMPLE).select("e").toPandas()["e"] if k > 1 else []
-    sample = _unit(drawn) if len(drawn) else np.zeros((0, 1))
-    if len(sample):
-        sample = sample / np.abs(sample).max(1, keepdims=True)
-        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    else:
-        sample = np.array([_unit(nodes.select("e").limit(1).toPandas()["e"])[0]])
-    placed = materialize(_place(nodes, choose_centres(sample, k, total, threshold), threshold), "dup-places")
-    sizes = {r["cluster"]: r["count"] for r in placed.groupBy("cluster").count().collect()}  # at most MOST_CENTRES rows
-    parts = F.create_map(*[F.lit(v) for c, n in sorted(sizes.items()) for v in (c, -(-n // PART))])
-    dealt = placed.withColumn("parts", F.element_at(parts, F.col("cluster"))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
-    dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).select("cluster", "p", "q", "part", "main", "node", "n", "e")
 
     def build(shard: pd.DataFrame) -> pd.DataFrame:
         ids, x = shard["node"].to_numpy(), _unit(shard["e"])
         near = adjacency(x)
         return pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]] for r in near]})
 
-    lists = dealt.groupBy("cluster", "p", "q").applyInPandas(build, "node long, near array<long>")
-    edges = lists.select("node", F.explode("near").alias("to"))
-    edges = edges.unionByName(edges.select(F.col("to").alias("node"), F.col("node").alias("to")))
-    united = materialize(edges.groupBy("node").agg(F.collect_set("to").alias("near")), "dup-graph")
-
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("node", ignore_index=True)
         ids, n, x = shard["node"].to_numpy(), shard["n"].to_numpy(), _unit(shard["e"])
         main, part, split = shard["main"].to_numpy(bool), shard["part"].to_numpy(), shard["p"].iloc[0] != shard["q"].iloc[0]
         graph = []
-        for near in shard["near"]:
+        for row, near in enumerate(shard["near"] if by_graph else ()):
             near = np.asarray(near if near is not None else [], np.int64)
             at = np.searchsorted(ids, near).clip(max=len(ids) - 1)
-            graph.append(at[ids[at] == near])
+            graph.append(_cut(x, row, at[ids[at] == near]))
+        asked = np.flatnonzero(main)
         counts, inside, across = np.zeros(len(ids), np.int64), [], []
-        for a, b in range_search(x, graph, np.flatnonzero(main), threshold):
+        for a, b in range_search(x, graph, asked, threshold) if by_graph else exhaustive(x, asked, threshold):
             fresh = part[a] != part[b] if split else np.ones(len(a), bool)  # a pair within a part is another shard's
             a, b = a[fresh], b[fresh]
             both = main[b]
@@ -277,8 +337,12 @@ def _links_of_dimension(nodes: DataFrame, threshold: float) -> DataFrame:
             pd.DataFrame({"kind": 2, "a": np.minimum(ids[ca], ids[cb]), "b": np.maximum(ids[ca], ids[cb]), "n": 0}),
         ], ignore_index=True).astype("int64")
 
-    known = dealt.join(united, "node", "left")
-    return known.groupBy("cluster", "p", "q").applyInPandas(search, "kind long, a long, b long, n long")
+    if not by_graph:
+        return dealt.groupBy("cluster", "p", "q").applyInPandas(search, "kind long, a long, b long, n long")
+    lists = dealt.groupBy("cluster", "p", "q").applyInPandas(build, "node long, near array<long>")
+    # a node is in few shards, each with a list of bounded length
+    united = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "dup-graph")
+    return dealt.join(united, "node", "left").groupBy("cluster", "p", "q").applyInPandas(search, "kind long, a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -288,15 +352,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     good = usable(F.col("e")) & F.exists("e", lambda x: x != 0)
     rows = rows.withColumn("e", F.when(good, F.col("e")))
     named = rows.filter(F.col("e").isNotNull() & F.col("vec_id").isNotNull())
-    nodes = materialize(named.groupBy("e").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "dup-nodes")
-    lengths = sorted(r[0] for r in nodes.select(F.size("e")).distinct().collect())
-    found = None
-    for length in lengths:
-        some = _links_of_dimension(nodes.filter(F.size("e") == length), threshold)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = nodes.sparkSession.createDataFrame([], "kind long, a long, b long, n long")
-    found = materialize(found, "dup-links")
+    nodes = named.groupBy("e").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")  # ids may have several vectors
+    dealt = _dealt(nodes, threshold)
+    found = _classes(rows, named, nodes, materialize(_links(dealt, threshold), "dup-links"))
+    true, counted = audit(vectors, found, threshold)
+    _log.info("audit: %d of %d links found", counted, true)
+    if counted < LEAST_RECALL * true:
+        _log.warning("recall %.3f is below %.2f: shards are searched exhaustively", counted / true, LEAST_RECALL)
+        found = _classes(rows, named, nodes, materialize(_links(dealt, threshold, by_graph=False), "dup-links"))
+    return found
+
+
+def _classes(rows: DataFrame, named: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row from the links among nodes, as a table."""
     crossing = found.filter("kind = 2").select("a", "b").distinct()
     both = crossing.unionByName(crossing.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weights = nodes.select(F.col("node").alias("b"), "n")
@@ -304,10 +373,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     counted = counted.groupBy("a").agg(F.sum("n").alias("links"))
     tied = components(found.filter("kind > 0").select("a", "b"))
     full = nodes.join(counted, F.col("node") == F.col("a"), "left").drop("a").join(tied, "node", "left")
-    full = full.select("e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
-    joined = named.join(full, "e").select("vec_id", F.col("links").alias("n_links"), F.col("root").alias("component_id"))
+    full = materialize(full.select("e", "n", "first_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root")), "dup-roots")
+    least = full.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("class_nodes"))
+    full = attach(full, least, "root", "class_nodes", nodes.count()).select("e", "n", "links", "component_id")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    joined = attach(named, materialize(full, "dup-full"), "e", "n", total).select("vec_id", F.col("links").alias("n_links"), "component_id")
     alone = rows.filter(F.col("e").isNull() | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    every = joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return materialize(every, "dup-classes")
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, most: int = AUDITED) -> tuple[int, int]:
@@ -317,17 +390,16 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, mo
     asked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
     if not len(asked):
         return 0, 0
-    width = asked["e"].map(len).max()
-    own = [np.asarray(x) / np.linalg.norm(x) for x in asked["e"]]
+    own = [_scaled(np.asarray(x, float)[None])[0] for x in asked["e"]]
     ids = asked["vec_id"].tolist()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sums = []
-            for x in own:
-                same = frame[frame["e"].map(len) == len(x)]
-                v = np.stack(same["e"].to_numpy()) if len(same) else np.zeros((0, width))
-                sums.append(int((v @ x / np.linalg.norm(v, axis=1) >= threshold).sum()) if len(v) else 0)
+            sums, lengths = np.zeros(len(own), np.int64), frame["e"].map(len).to_numpy()
+            for length in {len(x) for x in own} & set(lengths.tolist()):
+                v = _scaled(np.stack(frame["e"].to_numpy()[lengths == length]).astype(float))
+                mine = [i for i, x in enumerate(own) if len(x) == length]
+                sums[mine] += (v @ np.stack([own[i] for i in mine]).T >= threshold).sum(0)
             yield pd.DataFrame({"vec_id": ids, "true_links": sums})
 
     true = rows.mapInPandas(run, "vec_id long, true_links long").groupBy("vec_id").agg((F.sum("true_links") - 1).alias("true_links"))

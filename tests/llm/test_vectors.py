@@ -89,6 +89,24 @@ def test_audit_finds_all_links_of_a_hot_group(spark, monkeypatch):
     assert true > 50_000 and got == true
 
 
+def test_recall_of_many_small_groups(spark):
+    vectors = sets(np.random.default_rng(6), 550, 20, 7000, dims=32, noise=0.2)
+    frames = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embed_dups.near_duplicates(frames).collect()}
+    x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    true = np.concatenate([(x[i : i + 1000] @ x.T >= embed_dups.THRESHOLD).sum(1) - 1 for i in range(0, len(x), 1000)])
+    assert true.sum() > 40_000 and sum(min(got[i], int(t)) for i, t in enumerate(true)) >= 0.99 * true.sum()
+    assert all(got[i] <= t for i, t in enumerate(true))
+
+
+def test_a_low_recall_is_repaired(spark, monkeypatch):
+    rows = list(enumerate(sets(np.random.default_rng(7), 6, 30, 60).tolist()))
+    monkeypatch.setattr(embed_dups, "LEAST_RECALL", 1.1)  # so that every run is searched exhaustively
+    got = {r.vec_id: r for r in embed_dups.near_duplicates(frame(spark, rows)).collect()}
+    links, roots = brute(rows)
+    assert all(got[i].n_links == links[i] and got[i].component_id == roots[i] for i in links)
+
+
 def test_audit_and_edges(spark):
     rows = list(enumerate(sets(np.random.default_rng(2), 3, 20, 10).tolist()))
     vectors = frame(spark, rows)
@@ -98,6 +116,9 @@ def test_audit_and_edges(spark):
     twice = frame(spark, [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])])
     rows = embed_dups.near_duplicates(twice).collect()
     assert sorted((r.vec_id or -1, r.n_links) for r in rows) == [(-1, 0), (1, 1), (1, 1)]
+    mixed = frame(spark, [(1, [1.0, 2.0]), (1, [2.0, -1.0]), (2, [1.0, 2.01]), (3, [4.0, -2.0])])
+    rows = embed_dups.near_duplicates(mixed).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rows) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
     assert embed_dups.near_duplicates(vectors.limit(0)).collect() == [] and embed_dups.audit(vectors.limit(0), found) == (0, 0)
 
 
