@@ -1,8 +1,15 @@
 """A corpus pipeline: each stage works on what its predecessor kept, and is written and read again in between.
 
-toxicity drops documents that the classifier rejects (it learns from all labelled rows); near_duplicates keeps one
-document of each class of fingerprints; secrets replaces every found span by a mark; mixing repeats and orders the
-documents by the curriculum; packing cuts them into power-of-two sequences.
+toxicity drops documents that the classifier rejects; it learns from a bounded sample of the labelled rows (at most
+toxicity.MOST_ROWS) and scores every text. near_duplicates keeps one document of each class of fingerprints; secrets
+replaces every found span by a mark; mixing repeats and orders the documents by the curriculum; packing cuts them into
+power-of-two sequences.
+
+Defined results of all stages: an empty table gives an empty table; columns beside doc_id and text are kept as they are,
+whatever their names (but for n_chars, which follows the text). toxicity scores null and empty texts like texts without
+features. near_duplicates keeps every row without a doc_id, and counts null and empty texts as copies of each other. secrets
+leaves null texts null. mixing takes no document without words. packing makes a null or empty text the end id alone.
+Repeated rows stay repeated except in near_duplicates.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from cantorium.session import materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below the threshold; all of them where nothing could be learned."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     if not len(model.coordinates) and model.bias == 0:  # nothing was learned, so nothing is rejected
         return docs
@@ -23,18 +31,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each class."""
     return simhash.drop_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets marked out."""
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each up to three times."""
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
