@@ -8,7 +8,7 @@ power-of-two sequences.
 Defined results of all stages: an empty table gives an empty table; columns beside doc_id and text are kept as they are,
 whatever their names (but for n_chars, which follows the text). toxicity scores null and empty texts like texts without
 features. near_duplicates keeps every row without a doc_id, and counts null and empty texts as copies of each other. secrets
-leaves null texts null. mixing takes no document without words. packing makes a null or empty text the end id alone.
+leaves null texts null. mixing places documents without words like others, though they add none. packing makes a null or empty text the end id alone.
 Repeated rows stay repeated except in near_duplicates.
 """
 
