@@ -54,8 +54,11 @@ def _numbered(totals: DataFrame) -> DataFrame:
     """totals with `number`, the place of source_key in code point order, from 0; no task sees more than its range of keys."""
     placed = totals.repartitionByRange("source_key").sortWithinPartitions("source_key").withColumn("row", F.monotonically_increasing_id())
     placed = materialize(placed, "mix-sources").withColumn("part", F.shiftright("row", 33))
-    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before, so_far = [], 0
+    for part, n in sorted(tuple(r) for r in placed.groupBy("part").count().collect()):  # a row for each partition
+        before.append((part, so_far))
+        so_far += n
+    before = totals.sparkSession.createDataFrame(before, "part long, before long")
     within = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(F.broadcast(before), "part").withColumn("number", F.col("before") + within).drop("part", "row", "before")
 
