@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,9 +19,13 @@ def hashed_ngrams(dimensions: int = 64, n: int = 2) -> Callable[[], Encode]:
         def encode(texts: list[str]) -> np.ndarray:
             rows = np.zeros((len(texts), dimensions))
             for row, text in zip(rows, texts):
-                for i in range(max(1, len(text) - n + 1)):
-                    h = crc32(text[i : i + n].encode())
-                    row[h % dimensions] += 1 if h >> 31 else -1
+                points = np.frombuffer((text or " ").encode("utf-32-le", "replace"), "<u4")
+                many = max(1, len(points) - n + 1)
+                h = np.zeros(many, np.uint32)
+                for k in range(min(n, len(points))):
+                    h = (h ^ points[k : k + many]) * np.uint32(0x9E3779B1)
+                h ^= h >> np.uint32(15)
+                row += np.bincount(h % np.uint32(dimensions), np.where(h >> np.uint32(31), 1.0, -1.0), dimensions)
             return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
         return encode

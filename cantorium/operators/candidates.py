@@ -2,24 +2,97 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantorium.functions.lexical import seq_ratio
+from cantorium.functions.lexical import ratio, seq_ratio
 from cantorium.functions.text import char_ngrams, windows
 from cantorium.operators.knn import rank_top
 
 
+#: Queries, and their distinct n-grams times queries, that every task holds; more are joined through posting lists.
+MOST_QUERIES, MOST_CELLS = 8192, 64 << 20
+#: Corpus texts that are counted against all queries at a time.
+TEXTS = 512
+
+
+def _grams_of(text: str | None, n: int) -> set[str]:
+    bare = re.sub("[ \t\n\x0b\f\r\u3000]+", "", text or "")
+    return {bare[i : i + n] for i in range(len(bare) - n + 1)} or ({bare} if bare else set())
+
+
 def ngram_candidates(queries: DataFrame, corpus: DataFrame, k: int, n: int = 2, frequent: float | None = None) -> DataFrame:
     """The k corpus texts that share most distinct n-grams with each query (query_id, corpus_id, shared, rank).
 
-    frequent: leave out n-grams that more than this share of the corpus holds; None keeps all.
+    A corpus text is met where it is read: which of the queries' n-grams it holds, times which query holds them, counts what
+    it shares with every query, and each task hands on k texts a query. More queries than a task can hold are joined
+    through posting lists instead, with the same result. frequent: leave out n-grams that more than this share of the corpus
+    holds; None keeps all.
     """
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").limit(MOST_QUERIES + 1).collect()
+    grams = {r.query_id: _grams_of(r.text, n) for r in asked}
+    place = {g: i for i, g in enumerate(sorted(set().union(*grams.values())))}
+    if len(asked) > MOST_QUERIES or len(grams) < len(asked) or len(place) * len(asked) > MOST_CELLS:
+        return _by_postings(queries, corpus, k, n, frequent)
+    ids = sorted(grams)
+    holds = np.zeros((len(place), len(ids)), np.float32)
+    for column, i in enumerate(ids):
+        holds[[place[g] for g in grams[i]], column] = 1
+    texts = corpus.select(F.col("corpus_id").cast("long").alias("corpus_id"), F.col("text").cast("string").alias("text"))
+    context = corpus.sparkSession.sparkContext
+
+    def incidence(batch: pa.RecordBatch, known: dict[str, int]) -> np.ndarray:
+        has = np.zeros((batch.num_rows, len(known)), np.float32)
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            has[row, [known[g] for g in _grams_of(text, n) if g in known]] = 1
+        return has
+
+    if frequent is not None and place:
+        sent_places = context.broadcast(place)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, rows = np.zeros(len(sent_places.value), np.int64), 0
+            for batch in batches:
+                sums += incidence(batch, sent_places.value).sum(0).astype(np.int64)
+                rows += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(sums), dtype=np.int32)), pa.array(np.concatenate([[rows], sums]))], ["gram", "n"])
+
+        counts = {r.gram: r.n for r in texts.mapInArrow(spread, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row for each n-gram
+        holds[[g for g, m in counts.items() if g >= 0 and m > frequent * counts[-1]]] = 0
+    sent = context.broadcast((place, holds, ids))  # at most MOST_CELLS cells
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, matrix, names = sent.value
+        best_n, best_i = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                shared = (incidence(batch, known) @ matrix).T.astype(np.int64)
+                own = np.broadcast_to(batch.column(0).to_numpy()[None], shared.shape)
+                best_n, best_i = np.concatenate([best_n, shared], axis=1), np.concatenate([best_i, own], axis=1)
+                order = np.lexsort((best_i, -best_n), axis=1)[:, :k]
+                best_n, best_i = np.take_along_axis(best_n, order, 1), np.take_along_axis(best_i, order, 1)
+        row, _ = real = np.nonzero(best_n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[row]), pa.array(best_i[real]), pa.array(best_n[real])], ["query_id", "corpus_id", "shared"])
+
+    found = texts.filter(F.col("corpus_id").isNotNull()).mapInArrow(meet, "query_id long, corpus_id long, shared long")
+    return rank_top(found, "query_id", "corpus_id", "shared", k)
+
+
+def _by_postings(queries: DataFrame, corpus: DataFrame, k: int, n: int, frequent: float | None) -> DataFrame:
+    """ngram_candidates() by joining posting lists."""
     q = queries.select("query_id", F.explode(char_ngrams(F.col("text"), n)).alias("gram"))
-    c = corpus.select("corpus_id", F.explode(char_ngrams(F.col("text"), n)).alias("gram"))
+    c = corpus.select("corpus_id", F.explode(char_ngrams(F.col("text"), n)).alias("gram")).join(q.select("gram").distinct(), "gram", "left_semi")
     if frequent is not None:
-        common = c.groupBy("gram").count().crossJoin(F.broadcast(corpus.agg(F.count(F.lit(1)).alias("of")))).filter(F.col("count") > frequent * F.col("of"))
-        c = c.join(common.select("gram"), "gram", "left_anti")
+        of = corpus.count()
+        c = c.join(c.groupBy("gram").count().filter(F.col("count") > frequent * of).select("gram"), "gram", "left_anti")
     shared = q.join(c, "gram").groupBy("query_id", "corpus_id").agg(F.count(F.lit(1)).alias("shared"))
     return rank_top(shared, "query_id", "corpus_id", "shared", k)
 
@@ -36,16 +109,48 @@ def merge_candidates(semantic: DataFrame, lexical: DataFrame, queries: DataFrame
     return kept.unionByName(bare.crossJoin(F.broadcast(first)).select("query_id", "corpus_id", "place"))  # `first` has at most `most` rows
 
 
+def best_by_ratio(text: str | None, ids: list[int], others: list[str | None], k: int) -> list[tuple[float, int]]:
+    """The k others with the highest sequence ratio to a text as (ratio, id), ties to smaller ids.
+
+    Lengths, then counts of characters, bound a ratio from above; others are tried in the order of the first bound until it
+    is below the k-th best ratio.
+    """
+    own, top = text or "", []
+    counts = Counter(own)
+    bounded = sorted(((2 * min(len(own), len(b or "")) / (len(own) + len(b or "") or 1) if own or b else 1.0, i, b or "") for i, b in zip(ids, others)), key=lambda x: (-x[0], x[1]))
+    for bound, i, other in bounded:
+        least = -top[-1][0] if len(top) == k else -1.0
+        if bound < least:
+            break
+        total = len(own) + len(other)
+        if total and 2 * (counts & Counter(other)).total() / total < least:
+            continue
+        top = sorted([*top, (-ratio(own, other), i)])[:k]
+    return [(-r, i) for r, i in top]
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The k candidates of each query with the highest sequence ratio (query text first)."""
+    """The k candidates of each query with the highest sequence ratio (query text first). A query's candidates meet in one task, so they should be bounded."""
     texts = candidates.select("query_id", "corpus_id").join(queries.select("query_id", F.col("text").alias("a")), "query_id")
     texts = texts.join(corpus.select("corpus_id", F.col("text").alias("b")), "corpus_id")
-    scored = texts.repartition("query_id", "corpus_id").select("query_id", "corpus_id", seq_ratio("a", "b").alias("score"))
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        best = best_by_ratio(group["a"].iloc[0], group["corpus_id"].tolist(), group["b"].tolist(), k)
+        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "corpus_id": [i for _, i in best], "score": [r for r, _ in best]})
+
+    scored = texts.groupBy("query_id").applyInPandas(judge, "query_id long, corpus_id long, score double")
     return rank_top(scored, "query_id", "corpus_id", "score", k)
 
 
+#: Pairs that lexical_best() tries at most.
+MOST_PAIRS = 10_000_000
+
+
 def lexical_best(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Each query's corpus text with the highest sequence ratio, by trying all; for inputs that small only, see rerank()."""
+    """Each query's corpus text with the highest sequence ratio, by trying all MOST_PAIRS pairs at most; see rerank() for more."""
+    pairs = queries.count() * corpus.count()
+    if pairs > MOST_PAIRS:
+        raise ValueError(f"{pairs} pairs; lexical_best() tries at most {MOST_PAIRS}, rerank() takes candidates")
     tried = queries.select("query_id", F.col("text").alias("a")).crossJoin(corpus.select("corpus_id", F.col("text").alias("b")))
     scored = tried.repartition("query_id", "corpus_id").withColumn("score", seq_ratio("a", "b"))
     best = F.max(F.struct("score", (-F.col("corpus_id")).alias("i"))).alias("best")

@@ -22,10 +22,10 @@ def without(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def update_by_key(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The table with columns replaced where a change has the key; the last change in code point order wins."""
-    new = changes.groupBy(key).agg(*[F.max(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__changed"))
+    """The table with columns replaced where a change has the key; of several changes the greatest, compared column by column, wins as a whole."""
+    new = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("__change"))
     joined = table.join(new, key, "left")
-    replaced = {c: F.when(F.col("__changed"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}
+    replaced = {c: F.when(F.col("__change").isNotNull(), F.col("__change").getField(c)).otherwise(F.col(c)) for c in columns}
     return joined.withColumns(replaced).select(*table.columns)
 
 
