@@ -16,12 +16,6 @@ def percentile(value: Column, p: float) -> Column:
     return F.coalesce(F.percentile(value, F.lit(p / 100)), F.lit(0.0))
 
 
-def floor_percentile(value: Column, p: float) -> Column:
-    """A5: the element at floor(p/100 * (n-1)) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.floor(F.lit(p / 100) * (F.size(ordered) - 1)) + 1).cast("int"))
-
-
 def entropy_bits(count: Column) -> Column:
     """Shannon entropy of counts, one row a class: log2(N) - sum(c log2 c)/N."""
     total = F.sum(count)

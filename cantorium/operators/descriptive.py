@@ -17,44 +17,63 @@ def value_counts(df: DataFrame, groups: list[str], item: str) -> DataFrame:
     return ranked.select(*groups, item, "n", "share", "rank")
 
 
+def ranked_counts(counts: DataFrame, groups: list[str], item: str, k: int) -> DataFrame:
+    """The k greatest counts of each group with rank (n descending, then item); each task hands on k rows a group at most."""
+    order = Window.partitionBy(*groups).orderBy(F.desc("n"), item)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_string(counts: DataFrame, groups: list[str], item: str, k: int, name: str) -> DataFrame:
     """The k most frequent values of each group as item:n|item:n, ties by item."""
-    best = Window.partitionBy(*groups).orderBy(F.desc("n"), item)
-    kept = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
-    listed = kept.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("r", F.col(item).alias("name"), "n"))).alias("items"))
+    kept = ranked_counts(counts.select(*groups, item, "n"), groups, item, k)
+    listed = kept.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), F.col(item).alias("name"), "n"))).alias("items"))
     return listed.select(*groups, ranked_string(F.col("items")).alias(name))
 
 
 def concentration(counts: DataFrame, groups: list[str], item: str, k: int) -> DataFrame:
     """Entropy, normalised entropy, Herfindahl index and share of the k most frequent values."""
-    best = Window.partitionBy(*groups).orderBy(F.desc("n"), item)
-    ranked = counts.withColumn("r", F.row_number().over(best))
-    return ranked.groupBy(*groups).agg(
+    sums = counts.groupBy(*groups).agg(
         F.sum("n").alias("total"),
         F.count("n").alias("distinct_values"),
         stats.entropy_bits(F.col("n")).alias("entropy"),
         stats.normalized_entropy(F.col("n")).alias("normalized_entropy"),
         stats.herfindahl(F.col("n")).alias("hhi"),
-        (F.sum(F.when(F.col("r") <= k, F.col("n")).otherwise(0)) / F.sum("n")).alias("topk_share"),
     )
+    top = ranked_counts(counts.select(*groups, item, "n"), groups, item, k).groupBy(*groups).agg(F.sum("n").alias("top_n"))
+    keyed = [F.col(g).alias(f"__{g}") for g in groups]
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return sums.join(top.select(*keyed, "top_n"), same).select(*sums.columns, (F.col("top_n") / F.col("total")).alias("topk_share"))
 
 
 def explode_tokens(df: DataFrame, groups: list[str], key: str, tokens: Column) -> DataFrame:
     return df.select(*groups, key, F.explode(tokens).alias("token"))
 
 
-def token_coverage(exploded: DataFrame, groups: list[str], key: str) -> DataFrame:
-    """N and documents (distinct keys) of each token in each group; a count by document first keeps hot tokens small."""
-    once = exploded.groupBy(*groups, "token", key).agg(F.count(F.lit(1)).alias("c"))
-    return once.groupBy(*groups, "token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
+def token_coverage(df: DataFrame, groups: list[str], tokens: Column) -> DataFrame:
+    """N and documents (rows) of each token in each group, for rows that are a document each.
+
+    A row hands on its tokens and, once each, its different tokens; both are summed by task first, so what is shuffled
+    grows with the vocabulary and not with the corpus.
+    """
+    each = F.transform(tokens, lambda w: F.struct(w.alias("token"), F.lit(0).alias("first")))
+    once = F.transform(F.array_distinct(tokens), lambda w: F.struct(w.alias("token"), F.lit(1).alias("first")))
+    rows = df.select(*groups, F.explode(F.concat(each, once)).alias("t")).select(*groups, "t.token", F.col("t.first").cast("long").alias("first"))
+    return rows.groupBy(*groups, "token").agg(F.sum(1 - F.col("first")).alias("n"), F.sum("first").alias("docs"))
+
+
+def widened(coverage: DataFrame, groups: list[str]) -> DataFrame:
+    """token_coverage() of a wider scope, from that of groups that share no document."""
+    return coverage.groupBy(*groups, "token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def top_tokens(coverage: DataFrame, sizes: DataFrame, groups: list[str], k: int) -> DataFrame:
     """The k most frequent tokens of each group with share of tokens, share of documents and rank. sizes: group_docs by group."""
-    own = Window.partitionBy(*groups)
-    ranked = coverage.withColumns({"share": F.col("n") / F.sum("n").over(own), "rank": F.row_number().over(own.orderBy(F.desc("n"), "token"))})
-    kept = ranked.filter(F.col("rank") <= k)
-    return kept.join(F.broadcast(sizes) if not groups else sizes, groups).select(*groups, "token", "n", "docs", "share", (F.col("docs") / F.col("group_docs")).alias("coverage"), "rank")
+    totals = coverage.groupBy(*groups).agg(F.sum("n").alias("all_n"))
+    kept = ranked_counts(coverage.select(*groups, "token", "n", "docs"), groups, "token", k)
+    found = kept.join(totals, groups).join(sizes, groups) if groups else kept.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(sizes))  # one row each
+    return found.select(*groups, "token", "n", "docs", (F.col("n") / F.col("all_n")).alias("share"), (F.col("docs") / F.col("group_docs")).alias("coverage"), "rank")
 
 
 def lift(group: DataFrame, scope: DataFrame, group_sizes: DataFrame, scope_docs: DataFrame, groups: list[str], k: int) -> DataFrame:
@@ -70,8 +89,8 @@ def lift(group: DataFrame, scope: DataFrame, group_sizes: DataFrame, scope_docs:
 
 def vocabulary_overlap(coverage: DataFrame, group: str, k: int) -> DataFrame:
     """For every pair of groups the sizes of intersection, union and Jaccard of their vocabularies, also of their k most frequent tokens."""
-    top = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "token")) <= k
-    words = coverage.select(group, "token", top.alias("top"))
+    top = ranked_counts(coverage.select(group, "token", "n"), [group], "token", k).select(group, "token", F.lit(True).alias("top"))
+    words = coverage.select(group, "token").join(top, [group, "token"], "left").select(group, "token", F.coalesce("top", F.lit(False)).alias("top"))
     sizes = words.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("top").cast("long")).alias("top_size"))
     a, b = words.select(F.col(group).alias("a"), "token", F.col("top").alias("ta")), words.select(F.col(group).alias("b"), "token", F.col("top").alias("tb"))
     shared = a.join(b, "token").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum((F.col("ta") & F.col("tb")).cast("long")).alias("top_common"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantorium.functions import stats
+from cantorium.operators.quantiles import ordered_sums
 
 
 def roll_up(df: DataFrame, score: Column, issue: Column, sets: list[list[str]]) -> DataFrame:
@@ -112,14 +113,13 @@ def longest_run(df: DataFrame, groups: list[str], order: str, value: str) -> Dat
 def percentile_rank(values: DataFrame, base: DataFrame, groups: list[str], key: str, value: str) -> DataFrame:
     """Share of the group's base values that are at most the value; null without a base.
 
-    Both sides are counted into one ordered pass over distinct values, so nothing is joined row by row.
+    Values and base are counted together in range partitions, so no group is gathered in one task.
     """
-    counts = base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c")).withColumn(key, F.lit(None).cast(values.schema[key].dataType))
-    both = values.select(*groups, value, key, F.lit(0).cast("long").alias("c")).unionByName(counts)
-    upto = Window.partitionBy(*groups).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*groups)
-    ranked = both.withColumns({"below": F.sum("c").over(upto), "of": F.sum("c").over(every)})
-    return ranked.filter(F.col(key).isNotNull()).select(*groups, key, value, F.when(F.col("of") > 0, F.col("below") / F.col("of")).alias("percentile_rank"))
+    known = base.select(*groups, value, F.lit(1).cast("long").alias("n"))
+    asked = values.select(*groups, value, F.lit(0).cast("long").alias("n"))
+    ranked = ordered_sums(known.unionByName(asked).filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum("n").alias("n")), groups, value)
+    ranked = ranked.select(*groups, value, F.when(F.col("total") > 0, (F.col("below") + F.col("n")) / F.col("total")).alias("percentile_rank"))
+    return values.select(*groups, key, value).join(ranked, [*groups, value], "left")
 
 
 def matrix(df: DataFrame, row: str, column: str, names: list[str], value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantorium.session import table
+from cantorium.session import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ WORDS_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def six(column: Column | str) -> Column:

@@ -8,7 +8,7 @@ from cantorium.functions import stats
 from cantorium.operators import descriptive as D
 from cantorium.operators import tables
 from cantorium.plans.common import WORDS_SQL, documents, query, six, words
-from cantorium.session import table
+from cantorium.session import materialize, table
 
 _EXPLODED = f"select source, lang, doc_id, unnest({WORDS_SQL}) as token from documents"
 
@@ -22,7 +22,7 @@ select source, token, n, docs, round(share, 6) as share, round(docs / group_docs
 from r join s using (source) where rank <= 20""")
 def token_top_by_group(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    coverage = D.token_coverage(D.explode_tokens(docs, ["source"], "doc_id", words(F.col("text"))), ["source"], "doc_id")
+    coverage = D.token_coverage(docs, ["source"], words(F.col("text")))
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("group_docs"))
     return D.top_tokens(coverage, sizes, ["source"], 20).withColumns({"share": six("share"), "coverage": six("coverage")})
 
@@ -51,7 +51,7 @@ with c as (select lang, token, count(*) as n from ({_EXPLODED}) group by all),
 r as (select *, row_number() over (partition by lang order by n desc, token) as r from c)
 select lang, sum(n)::bigint as total, count(*) as distinct_values, round(sum(case when r <= 10 then n else 0 end) / sum(n), 6) as topk_share from r group by lang""")
 def topk_concentration(spark, sf_dir):
-    counts = D.explode_tokens(documents(spark, sf_dir), ["lang"], "doc_id", words(F.col("text"))).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(D.explode_tokens(documents(spark, sf_dir), ["lang"], "doc_id", words(F.col("text"))).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
     return D.concentration(counts, ["lang"], "token", 10).select("lang", "total", "distinct_values", six("topk_share").alias("topk_share"))
 
 
@@ -91,8 +91,8 @@ r as (select *, gcov / scov as lift, row_number() over (partition by g order by
 select g as lang, token, n, docs, round(gcov, 6) as group_coverage, round(scov, 6) as scope_coverage, round(lift, 6) as lift, rank::int as rank from r where rank <= 20""")
 def lift_signature(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    exploded = D.explode_tokens(docs, ["lang"], "doc_id", words(F.col("text")))
-    group, scope = D.token_coverage(exploded, ["lang"], "doc_id"), D.token_coverage(exploded, [], "doc_id")
+    group = materialize(D.token_coverage(docs, ["lang"], words(F.col("text"))), "token-coverage")
+    scope = D.widened(group, [])
     sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("group_docs"))
     found = D.lift(group, scope, sizes, docs.agg(F.count(F.lit(1)).alias("scope_docs")), ["lang"], 20)
     return found.withColumns({c: six(c) for c in ("group_coverage", "scope_coverage", "lift")})
@@ -108,8 +108,8 @@ select x.source as a, y.source as b, coalesce(common, 0) as common, (x.size + y.
   round(coalesce(top_common, 0) / (x.top_size + y.top_size - coalesce(top_common, 0)), 6) as top_jaccard
 from s x join s y on x.source < y.source left join i on i.a = x.source and i.b = y.source""")
 def vocab_overlap_between_groups(spark, sf_dir):
-    exploded = D.explode_tokens(documents(spark, sf_dir), ["source"], "doc_id", words(F.col("text")))
-    found = D.vocabulary_overlap(D.token_coverage(exploded, ["source"], "doc_id"), "source", 20)
+    coverage = materialize(D.token_coverage(documents(spark, sf_dir), ["source"], words(F.col("text"))), "token-coverage")
+    found = D.vocabulary_overlap(coverage, "source", 20)
     return found.withColumns({"jaccard": six("jaccard"), "top_jaccard": six("top_jaccard")})
 
 

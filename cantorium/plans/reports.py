@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cantorium.functions import stats
 from cantorium.operators import descriptive as D
 from cantorium.operators import knn, pairs, provenance, scores
+from cantorium.operators.quantiles import cumulative_share
 from cantorium.plans.common import WORDS_SQL, documents, query, six, words
 from cantorium.plans.scores import _events
-from cantorium.session import table
+from cantorium.session import materialize, table
 
 _TOKENS = f"select doc_id, source, lang, unnest({WORDS_SQL}) as token from documents"
 
@@ -26,7 +27,7 @@ def token_summary_by_group(spark, sf_dir):
     """A24, A26."""
     docs = documents(spark, sf_dir).withColumn("tokens", words(F.col("text")))
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum((F.size("tokens") > 0).cast("long")).alias("covered"))
-    counts = docs.select("source", F.explode("tokens").alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(docs.select("source", F.explode("tokens").alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
     spread = D.concentration(counts, ["source"], "token", 10)
     joined = sizes.join(spread, "source").join(D.top_string(counts, ["source"], "token", 5, "top5"), "source")
     return joined.select(
@@ -47,12 +48,12 @@ select lang, category, token, n, docs, round(gc, 6) as coverage, round(gc / sc,
 def token_top_by_category_lift(spark, sf_dir):
     """The scope of a category's lift is its language."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), "quality", F.lit("t"), "toxic").alias("category"))
-    exploded = D.explode_tokens(documents(spark, sf_dir).join(labels, "doc_id"), ["lang", "category"], "doc_id", words(F.col("text")))
-    own = D.token_coverage(exploded, ["lang", "category"], "doc_id")
-    seen = exploded.select("lang", "category", "doc_id").distinct()
+    marked = documents(spark, sf_dir).join(labels, "doc_id").withColumn("tokens", words(F.col("text"))).filter(F.size("tokens") > 0)
+    own = materialize(D.token_coverage(marked, ["lang", "category"], F.col("tokens")), "token-coverage")
+    seen = marked.select("lang", "category", "doc_id")
     sizes = seen.groupBy("lang", "category").agg(F.count(F.lit(1)).alias("group_docs"))
-    scope = D.token_coverage(exploded, ["lang"], "doc_id").select("lang", "token", F.col("docs").alias("hits"))
-    scope_sizes = seen.groupBy("lang").agg(F.countDistinct("doc_id").alias("scope_docs"))
+    scope = D.widened(own, ["lang"]).select("lang", "token", F.col("docs").alias("hits"))
+    scope_sizes = sizes.groupBy("lang").agg(F.sum("group_docs").alias("scope_docs"))
     top = D.top_tokens(own, sizes, ["lang", "category"], 20)
     joined = top.join(scope, ["lang", "token"]).join(scope_sizes, "lang")
     return joined.select("lang", "category", "token", "n", "docs", six("coverage").alias("coverage"), six(F.col("coverage") / (F.col("hits") / F.col("scope_docs"))).alias("lift"), "rank")
@@ -129,8 +130,8 @@ select * from t left join l using (event_type)""")
 def source_report(spark, sf_dir):
     """Tail shares, exact matches and the top sources of each group."""
     events = table(spark, sf_dir, "events")
-    percent = F.cume_dist().over(Window.partitionBy("event_type").orderBy("value"))
-    rows = events.select("event_type", F.col("user_id").alias("source"), (F.col("value") / 490.02).alias("score"), percent.alias("percent"))
+    ranked = cumulative_share(events, ["event_type"], "value").withColumnRenamed("share", "percent")
+    rows = events.join(ranked, ["event_type", "value"]).select("event_type", F.col("user_id").alias("source"), (F.col("value") / 490.02).alias("score"), "percent")
     found = provenance.report(rows, "event_type", "percent", "source", "score")
     return found.select("event_type", "n", *[six(c).alias(c) for c in ("tail_95", "tail_99", "exact", "mean_score")], "top_sources")
 

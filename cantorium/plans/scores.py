@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cantorium.functions import stats
 from cantorium.operators import descriptive as D
 from cantorium.operators import provenance, scores
+from cantorium.operators.quantiles import floor_percentiles, percentiles
 from cantorium.plans.common import query, six
 from cantorium.session import table
 
@@ -52,15 +53,17 @@ def score_buckets(spark, sf_dir):
 select event_type, count(*) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90,
   round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(max(value), 6) as max from events group by event_type""")
 def percentile_linear(spark, sf_dir):
-    found = table(spark, sf_dir, "events").groupBy("event_type").agg(*stats.summary(F.col("value")))
-    return found.select("event_type", "n", *[six(c).alias(c) for c in found.columns[2:]])
+    events = table(spark, sf_dir, "events")
+    cuts = percentiles(events, ["event_type"], "value", {f"p{p}": p for p in (50, 90, 95, 99)})
+    sums = events.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    return sums.join(cuts, "event_type").select("event_type", "n", *[six(c).alias(c) for c in ("mean", "p50", "p90", "p95", "p99", "max")])
 
 
 @query("""
 select l_returnflag, l_linestatus, list_sort(list(l_quantity))[(0.25 * (count(*) - 1))::double::bigint + 1 - (case when (0.25 * (count(*) - 1))::bigint > floor(0.25 * (count(*) - 1)) then 1 else 0 end)] as p25,
   list_sort(list(l_quantity))[floor(0.9 * (count(*) - 1))::bigint + 1] as p90 from lineitem group by all""")
 def percentile_floor(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(stats.floor_percentile(F.col("l_quantity"), 25).alias("p25"), stats.floor_percentile(F.col("l_quantity"), 90).alias("p90"))
+    return floor_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", {"p25": 25, "p90": 90})
 
 
 @query("""

@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of fewer bytes may be spread.
+SMALL_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores where it has fewer files than these; a file of one row group would be one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+
 _own_dir: list[str] = []
 
 

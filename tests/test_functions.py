@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cantorium.functions import lexical, stats, text
+from cantorium.operators import quantiles
 
 
 def value(spark, column, **inputs):
@@ -79,8 +80,10 @@ def test_soft_jaccard_bounds(a, b):
 
 def test_statistics_fixtures(spark):
     five = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0, 8.0, 16.0)], "x double")
-    row = five.agg(*[stats.percentile(F.col("x"), p).alias(f"a{p}") for p in (25, 50, 75, 90, 95)], *[stats.floor_percentile(F.col("x"), p).alias(f"b{p}") for p in (25, 50, 75, 90, 95)]).first()
-    assert list(row) == pytest.approx([2, 4, 8, 12.8, 14.4, 2, 4, 8, 8, 8])
+    points = {f"p{p}": p for p in (25, 50, 75, 90, 95)}
+    row = five.agg(*[stats.percentile(F.col("x"), p).alias(n) for n, p in points.items()]).first()
+    assert list(row) == pytest.approx([2, 4, 8, 12.8, 14.4]) and list(quantiles.percentiles(five, [], "x", points).first()) == pytest.approx([2, 4, 8, 12.8, 14.4])
+    assert list(quantiles.floor_percentiles(five, [], "x", points).first()) == [2, 4, 8, 8, 8]
     counts = spark.createDataFrame([(3,), (1,)], "n long").agg(stats.entropy_bits(F.col("n")), stats.normalized_entropy(F.col("n")), stats.herfindahl(F.col("n"))).first()
     assert list(counts) == pytest.approx([0.811278, 0.811278, 0.625], abs=1e-6)
     assert spark.createDataFrame([(5,)], "n long").agg(stats.normalized_entropy(F.col("n")).alias("v")).first().v == 0
@@ -108,6 +111,17 @@ def test_runs_and_ranks(spark):
     assert {r.i: r.percentile_rank for r in scores.percentile_rank(asked, base, ["g"], "i", "v").collect()} == {1: 0.75, 2: 0.0, 3: None}
 
 
+def test_percentiles_of_groups_against_sorted_lists(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-9, 9)])) for _ in range(500)] + [("c", 3)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    own = {g: sorted(v for h, v in rows if h == g and v is not None) for g in ("a", "b", "c", None)}
+    low = {r.g: (r.x, r.y) for r in quantiles.floor_percentiles(df, ["g"], "v", {"x": 25, "y": 90}).collect()}
+    assert low == {g: (v[int(0.25 * (len(v) - 1))], v[int(0.9 * (len(v) - 1))]) for g, v in own.items()}
+    shares = {(r.g, r.v): r.share for r in quantiles.cumulative_share(df, ["g"], "v").collect()}
+    assert shares == {(g, x): sum(y <= x for y in v) / len(v) for g, v in own.items() for x in v}
+
+
 def test_composite_scores_follow_the_formulas(spark):
     from cantorium.operators.homogeneity import composite_scores
 
