@@ -76,6 +76,9 @@ def ngram_candidates(queries: DataFrame, corpus: DataFrame, k: int, n: int = 2,
                 batch = whole.slice(at, TEXTS)
                 shared = (incidence(batch, known) @ matrix).T.astype(np.int64)
                 own = np.broadcast_to(batch.column(0).to_numpy()[None], shared.shape)
+                if best_n.shape[1] == k:  # only texts that change some query's list
+                    able = ((shared > best_n[:, -1:]) | ((shared == best_n[:, -1:]) & (own < best_i[:, -1:]))).any(0)
+                    shared, own = shared[:, able], own[:, able]
                 best_n, best_i = np.concatenate([best_n, shared], axis=1), np.concatenate([best_i, own], axis=1)
                 order = np.lexsort((best_i, -best_n), axis=1)[:, :k]
                 best_n, best_i = np.take_along_axis(best_n, order, 1), np.take_along_axis(best_i, order, 1)

@@ -1,11 +1,18 @@
-"""Communities of a small graph by greedy modularity; each scope is one graph, bounded by its edge limit."""
+"""Communities of graphs, one a scope: by greedy modularity, or by label propagation where a graph has too many edges for one task."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cantorium.session import materialize
 
 MOST_EDGES = 20_000
+#: Most rounds of label propagation.
+ROUNDS = 30
+#: The class of the nodes without an edge.
+LONELY = -1
 
 
 def greedy_communities(edges: pd.DataFrame) -> dict:
@@ -38,13 +45,48 @@ def greedy_communities(edges: pd.DataFrame) -> dict:
     return {node: min(nodes) for nodes in own.values() for node in nodes}
 
 
-def communities(edge_table: DataFrame, most: int = MOST_EDGES) -> DataFrame:
-    """scope, node, community (its smallest node) for edges src, dst, weight, scope. A scope with more edges than `most` is refused, not cut."""
+def propagate(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Communities of graphs of any size by label propagation: each round a node takes the label that most of its edges' weight has.
+
+    A node keeps its label where that is among the best, else takes the smallest of the best; rounds end when no label changes.
+    """
+    both = edges.select("scope", "src", "dst", "weight").unionByName(edges.select("scope", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = materialize(both, "graph-edges")
+    labels = both.select("scope", F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    for _ in range(rounds):
+        heard = both.join(labels.select("scope", F.col("node").alias("dst"), "community"), ["scope", "dst"])
+        votes = heard.groupBy("scope", F.col("src").alias("node"), "community").agg(F.sum("weight").alias("votes"))
+        own = labels.withColumnRenamed("community", "own")
+        judged = votes.join(own, ["scope", "node"]).groupBy("scope", "node", "own")
+        best = judged.agg(F.max(F.struct(F.round("votes", 9), (F.col("community") == F.col("own")).alias("kept"), (-F.col("community")).alias("less"))).alias("b"))
+        labels = materialize(best.select("scope", "node", "own", (-F.col("b.less")).alias("community")), "graph-labels")
+        changed = labels.filter("community <> own").limit(1).count()
+        labels = labels.drop("own")
+        if not changed:
+            break
+    least = labels.groupBy("scope", "community").agg(F.min("node").alias("least"))
+    return labels.join(least, ["scope", "community"]).select("scope", "node", F.col("least").alias("community"))
+
+
+def communities(edge_table: DataFrame, nodes: DataFrame | None = None, most: int = MOST_EDGES) -> DataFrame:
+    """scope, node, community (its smallest node) for edges src, dst, weight, scope.
+
+    Scopes of at most `most` edges are split by greedy modularity, larger ones by label propagation. nodes (scope, node): those
+    without an edge share one further class in their scope, the community LONELY.
+    """
 
     def run(edges: pd.DataFrame) -> pd.DataFrame:
-        if len(edges) > most:
-            raise ValueError(f"scope {edges['scope'].iloc[0]!r} has {len(edges)} edges; greedy modularity takes {most}")
         found = greedy_communities(edges.sort_values(["src", "dst"]))
         return pd.DataFrame({"scope": edges["scope"].iloc[0], "node": list(found), "community": list(found.values())})
 
-    return edge_table.groupBy("scope").applyInPandas(run, "scope string, node long, community long")
+    edge_table = materialize(edge_table.select("scope", "src", "dst", "weight"), "graph-edges")
+    sizes = edge_table.groupBy("scope").count()
+    small, large = (edge_table.join(sizes.filter(c).select("scope"), "scope") for c in (F.col("count") <= most, F.col("count") > most))
+    found = small.groupBy("scope").applyInPandas(run, "scope string, node long, community long")
+    if not sizes.filter(F.col("count") > most).isEmpty():
+        found = found.unionByName(propagate(large))
+    if nodes is None:
+        return found
+    found = materialize(found, "graph-communities")
+    lonely = nodes.select("scope", F.col("node").cast("long").alias("node")).distinct().join(found, ["scope", "node"], "left_anti")
+    return found.unionByName(lonely.withColumn("community", F.lit(LONELY).cast("long")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantorium.functions import stats
-from cantorium.functions.lexical import seq_ratio, set_similarity
+from cantorium.functions.lexical import ratio, seq_ratio, set_similarity
 from cantorium.operators import pairs
 
 
@@ -44,30 +46,61 @@ def whole_metrics(df: DataFrame, groups: list[str], key: str, vector: str, text:
         stats.percentile(F.col("sem"), 90).alias("whole_sem_p90"),
         stats.share_at_least(F.col("sem"), high).alias("whole_highsim_ratio"),
     ]
-    return found.groupBy(*groups).agg(*measures, *([stats.pseudo_share(F.col("sem"), F.col("lex")).alias("whole_pseudo_ratio")] if text else []))
-
-
-def sentence_metrics(df: DataFrame, groups: list[str], poem: str, key: str, vector: str, k: int = 3, high: float = 0.85) -> DataFrame:
-    """The k nearest sentence pairs of each pair of poems, then means over the pairs of poems."""
-    found = pairs.within(df, groups, key, [poem, vector], apart=poem)
-    low, top = F.least(f"{poem}_a", f"{poem}_b"), F.greatest(f"{poem}_a", f"{poem}_b")
-    found = found.select(*groups, low.alias("p"), top.alias("q"), f"{key}_a", f"{key}_b", stats.cosine(F.col(f"{vector}_a"), F.col(f"{vector}_b")).alias("sem"))
-    order = Window.partitionBy(*groups, "p", "q").orderBy(F.desc("sem"), f"{key}_a", f"{key}_b")
-    best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-    by_poems = best.groupBy(*groups, "p", "q").agg(stats.share_at_least(F.col("sem"), high).alias("high"), F.max("sem").alias("top1"))
-    return by_poems.groupBy(*groups).agg(F.avg("high").alias("sent_highsim_ratio"), F.avg("top1").alias("top1_sent_mean"))
-
-
-def imagery_metrics(df: DataFrame, groups: list[str], key: str, tokens: str) -> DataFrame:
-    """Soft Jaccard of the token sets of all pairs, with concentration and entropy of the tokens."""
+    if text:
+        measures += [stats.percentile(F.col("lex"), p).alias(f"whole_lex_p{p}") for p in (50, 90)] + [stats.pseudo_share(F.col("sem"), F.col("lex")).alias("whole_pseudo_ratio")]
+    return found.groupBy(*groups).agg(*measures)
+
+
+def sentence_measures(sentences: list[tuple[int, str, np.ndarray]], k: int, high: float, gap: float) -> dict:
+    """A31 for one group: (text's number, sentence, vector) in order. The k nearest sentence pairs of each pair of texts, then means over these."""
+    texts: dict[int, list] = {}
+    for number, sentence, vector in sentences:
+        texts.setdefault(number, []).append((sentence, vector / max(float(np.linalg.norm(vector)), 1e-300)))
+    numbers, rows, compared = sorted(texts), [], 0
+    units = {n: np.stack([v for _, v in texts[n]]) for n in numbers}
+    for at, a in enumerate(numbers):
+        for b in numbers[at + 1 :]:
+            sims = (units[a] @ units[b].T).ravel()
+            compared += len(sims)
+            top = np.argsort(-np.round(sims, 9), kind="stable")[:k]
+            width = len(units[b])
+            lexical = [ratio(texts[a][i // width][0], texts[b][i % width][0]) for i in top.tolist()]
+            rows.append((sims[top[0]], sims[top].mean(), (sims[top] >= high).mean(), (sims[top] - np.array(lexical) > gap).mean()))
+    mean = np.array(rows).mean(0).tolist() if rows else [0.0] * 4
+    names = ("top1_sent_mean", "topk_sent_mean", "sent_highsim_ratio", "sent_pseudo_ratio")
+    return dict(zip(names, mean)) | {"sentence_pair_count": len(rows), "raw_sentence_comparison_count": compared, "sentence_count": len(sentences)}
+
+
+def sentence_metrics(df: DataFrame, groups: list[str], key: str, text: str, vector: str, k: int = 3, high: float = 0.85, gap: float = 0.3) -> DataFrame:
+    """Per group, from a row for each sentence (key: its text's id, `ordinal`), the measures of sentence_measures(). Groups are samples, so a task takes one."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*groups).schema.fields)
+    schema = f"{kinds}, top1_sent_mean double, topk_sent_mean double, sent_highsim_ratio double, sent_pseudo_ratio double, sentence_pair_count long, raw_sentence_comparison_count long, sentence_count long"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([key, "ordinal"])
+        rows = list(zip(group[key].tolist(), group[text].tolist(), group[vector].map(np.asarray).tolist()))
+        rows = [(n, t, np.asarray(v, float)) for n, t, v in rows]
+        return pd.DataFrame([{g: group[g].iloc[0] for g in groups} | sentence_measures(rows, k, high, gap)])
+
+    return df.select(*groups, key, "ordinal", text, vector).groupBy(*groups).applyInPandas(run, schema)
+
+
+def imagery_metrics(df: DataFrame, groups: list[str], key: str, tokens: str, category: str | None = None) -> DataFrame:
+    """Soft Jaccard of the token sets of all pairs, with concentration, entropy and number of the tokens, and entropy and number of the categories."""
     found = pairs.within(df, groups, key, [tokens]).select(*groups, set_similarity(f"{tokens}_a", f"{tokens}_b").alias("jac"))
     jac = found.groupBy(*groups).agg(stats.percentile(F.col("jac"), 50).alias("jac_p50"), stats.percentile(F.col("jac"), 90).alias("jac_p90"))
     counts = df.select(*groups, F.explode(tokens).alias("token")).groupBy(*groups, "token").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("n"), "token")))
     spread = ranked.groupBy(*groups).agg(
-        (F.sum(F.when(F.col("r") <= 10, F.col("n")).otherwise(0)) / F.sum("n")).alias("top10_conc"), stats.normalized_entropy(F.col("n")).alias("imagery_entropy")
-    )
-    return jac.join(spread, groups, "left")
+        (F.sum(F.when(F.col("r") <= 10, F.col("n")).otherwise(0)) / F.sum("n")).alias("top10_conc"), stats.normalized_entropy(F.col("n")).alias("imagery_entropy"),
+        F.count("n").alias("distinct_imagery_count"),
+    )
+    out = jac.join(spread, groups, "left")
+    if category is None:
+        return out
+    kinds = df.filter(F.coalesce(F.col(category), F.lit("")) != "").groupBy(*groups, category).agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy(*groups).agg(stats.normalized_entropy(F.col("n")).alias("category_entropy"), F.count("n").alias("distinct_category_count"))
+    return out.join(kinds, groups, "left").na.fill(0.0, ["category_entropy"]).na.fill(0, ["distinct_category_count"])
 
 
 def composite_scores(metrics: DataFrame) -> DataFrame:

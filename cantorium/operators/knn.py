@@ -42,10 +42,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
             own = q["i"].to_numpy()[at : at + 256]
             if skip_same:
                 sims[own[:, None] == ids[None]] = -np.inf
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(sims, order, 1)
-            real = np.isfinite(best)
-            out.append(pd.DataFrame({"i": np.repeat(own, order.shape[1])[real.ravel()], "j": ids[order][real], "cosine": best[real]}))
+            n = sims.shape[1]
+            least = np.partition(sims, n - k, axis=1)[:, n - k] if n > k else np.full(len(sims), -np.inf)
+            row, place = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+            order = np.lexsort((place, -sims[row, place], row))  # ids ascend with places
+            row, place = row[order], place[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, place = row[near], place[near]
+            out.append(pd.DataFrame({"i": own[row], "j": ids[place], "cosine": sims[row, place]}))
         return pd.concat(out, ignore_index=True)
 
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, "i long, j long, cosine double")

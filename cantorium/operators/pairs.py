@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,50 @@ def between(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
     return left.join(right, block)
 
 
+#: Rows of a group that meet each other in one task.
+PART = 2048
+
+
 def cosine_pairs(df: DataFrame, block: list[str], key: str, vector: str, least: float | None = None) -> DataFrame:
-    """Pairs in a block with their cosine, at least a threshold."""
-    size = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = df.withColumn("__unit", F.transform(F.col(vector), lambda x: x.cast("double") / size))
-    pairs = within(unit, block, key, ["__unit"])
-    dot = F.aggregate(F.zip_with("__unit_a", "__unit_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = pairs.select(*block, f"{key}_a", f"{key}_b", dot.alias("cosine"))
-    return found if least is None else found.filter(F.col("cosine") >= least)
+    """Pairs in a block (or of all rows, without one) with their cosine, at least a threshold.
+
+    A block of many rows is dealt into parts; every two parts meet in a task by a matrix product, and only pairs that reach
+    the threshold leave it.
+    """
+    rows = df.select(*block, F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & F.col(key).isNotNull())
+    for b in block:
+        rows = rows.filter(F.col(b).isNotNull())
+    if block:
+        many = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        rows = rows.join(many, block)
+    else:
+        rows = rows.withColumn("parts", F.lit(max(1, -(-rows.count() // PART))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("parts", "other")
+    floor = -np.inf if least is None else least
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key, ignore_index=True)
+        x = np.stack(group["v"].to_numpy())
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        ids, part = group[key].to_numpy(), group["part"].to_numpy()
+        split = group["p"].iloc[0] != group["q"].iloc[0]
+        found = []
+        for at in range(0, len(x), 512):
+            sims = x[at : at + 512] @ x.T
+            fit = (sims >= floor) & (ids[at : at + 512, None] < ids[None])
+            if split:
+                fit &= part[at : at + 512, None] != part[None]
+            i, j = np.nonzero(fit)
+            found.append(pd.DataFrame({f"{key}_a": ids[at + i], f"{key}_b": ids[j], "cosine": sims[i, j]}))
+        out = pd.concat(found, ignore_index=True)
+        for b in block:
+            out[b] = group[b].iloc[0]
+        return out[[*block, f"{key}_a", f"{key}_b", "cosine"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*block).schema.fields) if block else ""
+    schema = f"{kinds}{', ' if kinds else ''}`{key}_a` long, `{key}_b` long, cosine double"
+    return rows.groupBy(*block, "p", "q").applyInPandas(meet, schema)
 
 
 def pair_statistics(pairs: DataFrame, groups: list[str], value: str, threshold: float) -> DataFrame:

@@ -28,29 +28,48 @@ def with_fallback(df: DataFrame, base: DataFrame, group: str, bucket: str, colum
     return joined.select(*df.columns, *[F.coalesce(f"__0_{c}", f"__1_{c}", f"__2_{c}").alias(c) for c in columns])
 
 
-def profile(parts: DataFrame, key: str, order: str, source: str, score: str, agrees: Column) -> DataFrame:
-    """Per text the dominant source (most parts, then smallest id) and its share, coverage, distinct sources, longest run, agreements and the best score."""
+def _channel(parts: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """One channel of profile(): from {name}_source and {name}_score of each part."""
     own = Window.partitionBy(key).orderBy(order)
-    marked = parts.select(key, order, F.col(source).alias("s"), F.col(score).alias("score"), agrees.cast("long").alias("agrees"))
+    marked = parts.select(key, order, F.col(f"{name}_source").alias("s"), F.col(f"{name}_score").alias("score"))
     marked = marked.withColumn("new", F.when(F.lag("s").over(own).eqNullSafe(F.col("s")), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
-    runs = marked.groupBy(key, "island", "s").agg(F.count(F.lit(1)).alias("run"), F.sum("agrees").alias("agrees"), F.max("score").alias("score"))
-    sources = runs.groupBy(key, "s").agg(F.sum("run").alias("n"), F.max("run").alias("run"), F.sum("agrees").alias("agrees"), F.max("score").alias("score"))
+    runs = marked.groupBy(key, "island", "s").agg(F.count(F.lit(1)).alias("run"), F.max("score").alias("score"), F.sum("score").alias("sum"))
+    sources = runs.groupBy(key, "s").agg(F.sum("run").alias("n"), F.max("run").alias("run"), F.max("score").alias("score"), F.sum("sum").alias("sum"))
     real = F.col("s").isNotNull()
     found = sources.groupBy(key).agg(
         F.sum("n").alias("parts"),
-        F.sum(F.when(real, F.col("n")).otherwise(0)).alias("covered"),
-        F.count("s").alias("distinct_sources"),
-        F.max(F.when(real, F.col("run")).otherwise(0)).alias("longest_run"),
-        F.sum("agrees").alias("agreements"),
-        F.max("score").alias("best_score"),
+        F.count("s").alias("distinct"),
+        F.max(F.when(real, F.col("run")).otherwise(0)).alias("run"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("best"),
+        F.coalesce(F.sum("sum"), F.lit(0.0)).alias("sum"),
         F.min(F.when(real, F.struct((-F.col("n")).alias("n"), F.col("s").alias("s")))).alias("top"),
     )
     return found.select(
-        key, "parts", (F.col("covered") / F.col("parts")).alias("coverage"), "distinct_sources", "longest_run", F.coalesce("agreements", F.lit(0)).alias("agreements"), "best_score",
-        F.col("top.s").alias("dominant_source"), (-F.col("top.n") / F.col("parts")).alias("dominant_share"),
+        key, F.col("top.s").alias(f"{name}_dominant_source"), F.coalesce(-F.col("top.n") / F.col("parts"), F.lit(0.0)).alias(f"{name}_dominant_coverage"),
+        F.col("distinct").alias(f"distinct_{name}_sources"), F.col("run").alias(f"longest_{name}_run"), F.col("best").alias(f"max_sentence_{name}_score"),
+        (F.col("sum") / F.col("parts")).alias(f"mean_sentence_{name}_score"),
     )
 
 
+def profile(parts: DataFrame, key: str, order: str, channels: tuple[str, ...] = ("sem", "lex")) -> DataFrame:
+    """A row for each text from its parts in order: how many, how many have one source in all channels, and of each channel the dominant source (most
+    parts, then smallest id) with its share, the number of sources, the longest run of one source, the best and the mean score. parts: {channel}_source and {channel}_score."""
+    first = F.col(f"{channels[0]}_source")
+    agree = F.lit(True)
+    for name in channels[1:]:
+        agree = agree & (F.col(f"{name}_source") == first)
+    found = parts.groupBy(key).agg(F.count(F.lit(1)).alias("sentence_count"), F.sum(F.coalesce(agree & first.isNotNull(), F.lit(False)).cast("long")).alias("same_source_sentence_count"))
+    for name in channels:
+        found = found.join(_channel(parts, key, order, name), key)
+    return found
+
+
+def attribute(profiles: DataFrame, sources: DataFrame, source: str, names: list[str]) -> DataFrame:
+    """Profiles with attributes of a source (columns `names` of sources, by source_id), as {source}_{name}; null where the source is unknown."""
+    known = sources.select(F.col("source_id").alias(source), *[F.col(n).alias(f"{source}_{n}") for n in names])
+    return profiles.join(known, source, "left")
+
+
 def report(profiles: DataFrame, group: str, percentile: str, source: str, score: str, n_sources: int = 5) -> DataFrame:
     """Per group the rows, tail shares (at 0.95, 0.99 and exact matches), mean score and the top sources as JSON."""
     share = lambda condition: F.avg(F.coalesce(condition, F.lit(False)).cast("double"))

@@ -9,8 +9,11 @@ from cantorium.functions import stats
 from cantorium.operators.quantiles import ordered_sums
 
 
-def roll_up(df: DataFrame, score: Column, issue: Column, sets: list[list[str]]) -> DataFrame:
-    """Score statistics and issue rates for each grouping set in one pass; a group column that is rolled up is null."""
+def roll_up(df: DataFrame, score: Column, issue: Column, sets: list[list[str]], kinds: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """Score statistics and issue rates for each grouping set in one pass; a group column that is rolled up is null.
+
+    kinds: issue kinds whose rate is wanted as {kind}_ratio. least: groups of fewer rows are left out.
+    """
     dims = list(dict.fromkeys(d for s in sets for d in s))
     s = F.coalesce(score, F.lit(0.0))
     base = df.select(*dims, s.alias("s"), issue.alias("issue"))
@@ -26,8 +29,9 @@ def roll_up(df: DataFrame, score: Column, issue: Column, sets: list[list[str]])
         ratio((v > 0) & (v < 60)).alias("low_ratio"),
         ratio(v == 0).alias("zero_ratio"),
         ratio(F.col("issue").isNull()).alias("issue_free_ratio"),
+        *[ratio(F.coalesce(F.col("issue") == kind, F.lit(False))).alias(f"{kind}_ratio") for kind in kinds],
     ]
-    return base.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in dims]).agg(*measures)
+    return base.groupingSets([[F.col(d) for d in s] for s in sets], *[F.col(d) for d in dims]).agg(*measures).filter(F.col("total") >= least)
 
 
 def issue_breakdown(df: DataFrame, groups: list[str], key: str, issue: str, kinds: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantorium.functions import stats
+from cantorium.functions.encoder import encode_column, hashed_ngrams
+from cantorium.functions.lexical import seq_ratio
 from cantorium.operators import descriptive as D
 from cantorium.operators import knn, pairs, provenance, scores
+from cantorium.operators.homogeneity import free_target_sizes
 from cantorium.operators.quantiles import cumulative_share
 from cantorium.plans.common import WORDS_SQL, documents, query, six, words
 from cantorium.plans.scores import _events
@@ -63,7 +66,7 @@ def token_top_by_category_lift(spark, sf_dir):
 with s as (select turn, conv_id, role, length(text) as n from conversations)
 select conv_id, count(*) as pairs, round(avg(abs(a.n - b.n)), 6) as mean_gap, max(abs(a.n - b.n)) as max_gap from s a join s b using (conv_id) where a.turn < b.turn group by conv_id""")
 def intra_group_pairs(spark, sf_dir):
-    """Pairs of turns inside a conversation."""
+    """Pairs of turns inside a conversation, and how far apart their lengths are."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
     gap = F.abs(F.col("n_a") - F.col("n_b"))
     return pairs.within(turns, ["conv_id"], "turn", ["n"]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("pairs"), six(F.avg(gap)).alias("mean_gap"), F.max(gap).alias("max_gap"))
@@ -88,21 +91,32 @@ def cross_corpus_pairs(spark, sf_dir):
     return found.filter("cosine >= 0.2").withColumn("cosine", six("cosine"))
 
 
-@query(f"""
-with r as (select *, row_number() over (partition by query_id order by cosine desc, corpus_id) as r from ({_AI_HUMAN}))
-select query_id, corpus_id, round(cosine, 6) as cosine, la <> lb as cross_label, round(greatest(cosine, 2 * (corpus_id % 10) / 40.0::double), 6) as threat,
-  cosine >= 0.35 or (corpus_id % 10) / 40.0::double >= 0.2 as suspicious from r where r = 1""")
+@query()
 def suspicion_report(spark, sf_dir):
-    """The nearest row of the other corpus, with flags and a threat score; the lexical score is a stand-in."""
+    """The nearest row of the other corpus, with flags and a threat score from the sequence ratio of their documents; ids tie vectors to documents."""
     asked, corpus = _sides(spark, sf_dir)
     top = knn.top_k(asked, corpus, 1).join(asked.select("query_id", "la"), "query_id").join(corpus.select("corpus_id", "lb"), "corpus_id")
-    lexical = (F.col("corpus_id") % 10) / F.lit(40.0)
-    return top.select(
-        "query_id", "corpus_id", six("cosine").alias("cosine"), (F.col("la") != F.col("lb")).alias("cross_label"), six(stats.threat(F.col("cosine"), lexical)).alias("threat"),
-        stats.suspicious(F.col("cosine"), lexical, 0.35, 0.2).alias("suspicious"),
+    docs = documents(spark, sf_dir)
+    a, b = (docs.select(F.col("doc_id").alias(key), F.col("text").alias(name)) for key, name in (("query_id", "text_a"), ("corpus_id", "text_b")))
+    texts = top.join(a, "query_id", "left").join(b, "corpus_id", "left").repartition("query_id")
+    lexical = materialize(texts.withColumn("lexical", seq_ratio("text_a", "text_b")).drop("text_a", "text_b"), "suspects")
+    return lexical.select(
+        "query_id", "corpus_id", six("cosine").alias("cosine"), six("lexical").alias("lexical"), (F.col("la") != F.col("lb")).alias("cross_label"),
+        six(stats.threat(F.col("cosine"), F.col("lexical"))).alias("threat"), stats.suspicious(F.col("cosine"), F.col("lexical")).alias("suspicious"),
     )
 
 
+@query()
+def intra_text_similarity(spark, sf_dir):
+    """Means and maxima of meaning and wording over the pairs of a conversation's turns, most alike first."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition("conv_id")
+    turns = materialize(turns.withColumn("v", encode_column(F.col("text"), hashed_ngrams())), "turn-vectors")
+    found = pairs.within(turns, ["conv_id"], "turn", ["text", "v"]).repartition("conv_id", "turn_a", "turn_b")
+    found = found.select("conv_id", stats.cosine(F.col("v_a"), F.col("v_b")).alias("sem"), seq_ratio("text_a", "text_b").alias("lex"))
+    measures = [six(f(c)).alias(f"{n}_{c}") for c in ("sem", "lex") for n, f in (("avg", F.avg), ("max", F.max))]
+    return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pairs"), *measures).orderBy(F.desc("avg_sem"), "conv_id")
+
+
 _BASE = """
 select coalesce(event_type, '__overall__') as g, coalesce(bucket, '__overall__') as b, count(*) as base_n, quantile_cont(value, 0.9) as base_p90
 from (select event_type, 'b' || (user_id % 3) as bucket, value from events where user_id % 7 <> 0 and event_type <> 'error') group by grouping sets ((event_type, bucket), (bucket), ())"""
@@ -168,12 +182,15 @@ def constraint_sensitivity(spark, sf_dir):
 
 @query(f"""
 with p as (select a.label, a.vec_id as src, b.vec_id as dst, {_COS} as w from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id),
-k as (select 'label=' || label as scope, src, dst, w from p where w >= 0.3 union all select 'global', src, dst, w from p where w >= 0.3)
+k as (select 'label=' || label as scope, src, dst, w from p where w >= 0.3 union all select 'global', src, dst, w from p where w >= 0.3
+  union all select 'label=' || label || ',bucket=' || (src % 3), src, dst, w from p where w >= 0.3 and src % 3 = dst % 3)
 select scope, count(*) as edges, (select count(distinct n) from (select src as n from k x where x.scope = k.scope union select dst from k y where y.scope = k.scope)) as nodes, round(max(w), 6) as strongest from k group by scope""")
 def scoped_graphs(spark, sf_dir):
     """One edge table over several scopes."""
     found = pairs.cosine_pairs(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 0.3)
-    scopes = F.explode(F.array(F.concat(F.lit("label="), F.col("label").cast("string")), F.lit("global")))
+    label = F.concat(F.lit("label="), F.col("label").cast("string"))
+    bucket = F.when(F.col("vec_id_a") % 3 == F.col("vec_id_b") % 3, F.concat(label, F.lit(",bucket="), (F.col("vec_id_a") % 3).cast("string")))
+    scopes = F.explode(F.array_compact(F.array(label, F.lit("global"), bucket)))
     rows = found.select(scopes.alias("scope"), F.col("vec_id_a").alias("src"), F.col("vec_id_b").alias("dst"), "cosine")
     nodes = rows.select("scope", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("nodes"))
     return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("edges"), six(F.max("cosine")).alias("strongest")).join(nodes, "scope").select("scope", "edges", "nodes", "strongest")
@@ -183,6 +200,12 @@ def scoped_graphs(spark, sf_dir):
 with c as (select source, lang, count(*) as n from documents group by all)
 select lang, count(*) as groups, sum(n)::bigint as docs from c where n >= 2 group by lang having count(*) >= 2""")
 def minimum_group_sizes(spark, sf_dir):
-    """Groups that are too small go before anything is averaged over them."""
+    """Groups that are too small go before anything is averaged over them."""
     counts = documents(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     return counts.groupBy("lang").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("docs")).filter("groups >= 2")
+
+
+@query("select lang, least(count(*), 20)::bigint as target from documents group by lang having count(*) >= 8")
+def free_sampling_targets(spark, sf_dir):
+    """Sizes of the samples where texts choose their own tune."""
+    return free_target_sizes(documents(spark, sf_dir), "lang").withColumn("target", F.col("target").cast("long"))

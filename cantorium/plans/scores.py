@@ -30,6 +30,17 @@ def score_rollup_grouping_sets(spark, sf_dir):
     return found.select("db", "event_type", "total", *[six(c).alias(c) for c in found.columns[3:]])
 
 
+@query("""
+with b as (select user_id % 7 as db, user_id, event_type, least(value, 100) as s from events)
+select db, user_id, count(*) as total, round(avg(s), 6) as avg_score, round(quantile_cont(s, 0.5), 6) as p50_score,
+  round(avg((event_type = 'error')::int), 6) as error_ratio, round(avg((event_type = 'click')::int), 6) as click_ratio
+from b group by grouping sets ((db, user_id), (db)) having count(*) >= 8""")
+def score_rollup_with_minimum(spark, sf_dir):
+    """Rates by kind of issue, for groups of eight or more."""
+    found = scores.roll_up(_events(spark, sf_dir), F.col("score"), F.col("event_type"), [["db", "user_id"], ["db"]], kinds=("error", "click"), least=8)
+    return found.select("db", "user_id", "total", *[six(c).alias(c) for c in ("avg_score", "p50_score", "error_ratio", "click_ratio")])
+
+
 @query("""
 with k as (select distinct event_type as issue from events union select 'never_seen'),
 c as (select user_id % 7 as db, event_type as issue, count(*) as issues, count(distinct user_id) as rows_with_issue from events group by all)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantorium.functions import stats
+from cantorium.functions.encoder import encode_column, hashed_ngrams
 from cantorium.functions.lexical import seq_ratio, set_similarity
-from cantorium.functions.text import chars, sentences
-from cantorium.operators import candidates, graph, homogeneity, knn, pairs, provenance
+from cantorium.functions.text import LATIN_SENTENCE_MARKS, chars, sentences
+from cantorium.operators import candidates, graph, homogeneity, knn, pairs, provenance, scores
+from cantorium.operators import descriptive as D
 from cantorium.plans.common import documents, query, six, words
-from cantorium.session import table
+from cantorium.session import materialize, table
 
 _COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 _PAIRS = f"select a.label, a.vec_id as vec_id_a, b.vec_id as vec_id_b, {_COS} as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id"
@@ -80,11 +82,27 @@ def char_bigram_candidates(spark, sf_dir):
     return candidates.ngram_candidates(*_texts(spark, sf_dir), 10)
 
 
+#: Candidates of a text: so many by meaning first, then by n-grams up to so many.
+SEMANTIC, MOST_CANDIDATES = 64, 160
+
+
+def _encoded(df, name):
+    return materialize(df.withColumn("v", encode_column(F.col("text"), hashed_ngrams())), name)
+
+
+def _candidates(asked, corpus, asked_vectors, corpus_vectors):
+    """Semantic candidates, then those that share most bigrams."""
+    semantic = knn.top_k(asked_vectors.select("query_id", "v"), corpus_vectors.select("corpus_id", "v"), SEMANTIC)
+    lexical = candidates.ngram_candidates(asked, corpus, MOST_CANDIDATES)
+    semantic, lexical = materialize(semantic, "semantic-candidates"), materialize(lexical, "lexical-candidates")
+    return semantic, candidates.merge_candidates(semantic, lexical, asked, corpus, MOST_CANDIDATES)
+
+
 @query()
 def seq_ratio_topk_candidates(spark, sf_dir):
+    """The documents with the highest sequence ratio among each passage's merged candidates."""
     asked, corpus = _texts(spark, sf_dir)
-    lexical = candidates.ngram_candidates(asked, corpus, 8)
-    merged = candidates.merge_candidates(lexical.limit(0), lexical, asked, corpus, 8)
+    _, merged = _candidates(asked, corpus, _encoded(asked, "passage-vectors"), _encoded(corpus, "document-vectors"))
     return candidates.rerank(merged, asked, corpus, 3).withColumn("score", six("score"))
 
 
@@ -145,7 +163,16 @@ def edge_topn_degree(spark, sf_dir):
 
 @query()
 def components(spark, sf_dir):
-    return graph.communities(_edges(spark, sf_dir))
+    """Communities of every label's graph of all pairs at or above a threshold; vectors without an edge are in one further class."""
+    label = F.col("label").cast("string")
+    found = pairs.edges(_pairs(spark, sf_dir, 0.3), "vec_id_a", "vec_id_b", "cosine", None, label)
+    return graph.communities(found, table(spark, sf_dir, "embeddings").select(label.alias("scope"), F.col("vec_id").alias("node")))
+
+
+@query(f"select a.vec_id as vec_id_a, b.vec_id as vec_id_b, round({_COS}, 6) as cosine from embeddings a join embeddings b on a.vec_id < b.vec_id where {_COS} >= 0.4")
+def global_pairs(spark, sf_dir):
+    """Pairs of all vectors, whatever their label."""
+    return pairs.cosine_pairs(table(spark, sf_dir, "embeddings"), [], "vec_id", "embedding", 0.4).withColumn("cosine", six("cosine"))
 
 
 @query(f"""
@@ -159,33 +186,61 @@ def homogeneity_cosine(spark, sf_dir):
     return found.select("label", "pairs", *[six(c).alias(c) for c in ("whole_sem_p50", "whole_sem_p90", "whole_highsim_ratio", "whole_score", "composite")])
 
 
+#: Texts of a sample, rounds, and words of a text that stand for its images: the most frequent ones of four or more letters.
+SAMPLED, ROUNDS, IMAGES = 6, 3, 12
+
+
 @query()
 def homogeneity_summary(spark, sf_dir):
-    """Sampled sources, their vectors and words, scores by round, then means over the rounds."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    tokens = F.array_sort(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) >= 12)))  # long words stand in for imagery
-    docs = documents(spark, sf_dir).select("doc_id", "source", tokens.alias("tokens")).join(vectors, "doc_id")
-    drawn = homogeneity.sample(docs, ["source"], "doc_id", 6, rounds=3)
+    """Samples of each source, measures of their whole texts, sentences and images by round, then means over the rounds."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), "quality", F.lit("t"), "toxic").alias("category"))
+    drawn = homogeneity.sample(docs.select("doc_id", "source"), ["source"], "doc_id", SAMPLED, rounds=ROUNDS)
+    drawn = drawn.join(docs.drop("source"), "doc_id").join(labels, "doc_id", "left").repartition("source", "round")
+    drawn = materialize(drawn.withColumn("embedding", encode_column(F.col("text"), hashed_ngrams())), "drawn")
     groups = ["source", "round"]
-    whole = homogeneity.whole_metrics(drawn, groups, "doc_id", "embedding")
-    imagery = homogeneity.imagery_metrics(drawn, groups, "doc_id", "tokens")
-    poems = drawn.withColumn("poem", F.col("doc_id") % 5)
-    sent = homogeneity.sentence_metrics(poems, groups, "poem", "doc_id", "embedding").withColumn("sent_pseudo_ratio", F.lit(0.0))
-    joined = whole.join(imagery, groups, "left").join(sent, groups, "left").withColumn("category_entropy", F.lit(0.0))
-    scored = homogeneity.composite_scores(homogeneity.average_rounds(joined, groups))
-    found = homogeneity.average_rounds(scored, ["source"])
+    counts = drawn.select(*groups, "doc_id", F.explode(words(F.col("text"))).alias("word")).filter(F.length("word") >= 4).groupBy(*groups, "doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    images = D.ranked_counts(counts, [*groups, "doc_id"], "word", IMAGES).groupBy(*groups, "doc_id").agg(F.sort_array(F.collect_list("word")).alias("images"))
+    marked = drawn.join(images, [*groups, "doc_id"], "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
+    parts = drawn.select(*groups, "doc_id", F.posexplode(sentences(F.col("text"), LATIN_SENTENCE_MARKS)).alias("ordinal", "sentence"))
+    parts = parts.repartition(*groups, "doc_id").withColumn("v", encode_column(F.col("sentence"), hashed_ngrams()))
+    whole = homogeneity.whole_metrics(drawn, groups, "doc_id", "embedding", "text")
+    joined = whole.join(homogeneity.imagery_metrics(marked, groups, "doc_id", "images", "category"), groups, "left").join(homogeneity.sentence_metrics(parts, groups, "doc_id", "sentence", "v"), groups, "left")
+    found = homogeneity.average_rounds(homogeneity.composite_scores(joined), ["source"])
     return found.select("source", *[six(c).alias(c) for c in found.columns[1:]])
 
 
+def _sentences(df, key, name):
+    """Sentences of texts as texts of their own; their ids hold the text's id and the ordinal."""
+    parts = df.select(F.col(key).alias("owner"), F.posexplode(sentences(F.col("text"), LATIN_SENTENCE_MARKS)).alias("ordinal", "text"))
+    return parts.withColumn(name, F.shiftleft(F.col("owner").cast("long"), 20).bitwiseOR(F.col("ordinal").cast("long")))
+
+
 @query()
 def provenance_profile(spark, sf_dir):
-    """Sentences of the passages, the document that shares most bigrams with each, and a profile of each passage."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(sentences(F.col("text"), r"[,.!?;\n]")).alias("ordinal", "text"))
-    asked = asked.withColumn("query_id", F.col("item_id") * 1000 + F.col("ordinal"))
-    top = candidates.ngram_candidates(asked.select("query_id", "text"), _texts(spark, sf_dir)[1], 1)
-    parts = asked.join(top.select("query_id", "corpus_id", "shared"), "query_id", "left").withColumn("score", F.col("shared") / F.greatest(F.length("text") - 1, F.lit(1)))
-    found = provenance.profile(parts, "item_id", "ordinal", "corpus_id", "score", F.col("score") >= 0.9)
-    return found.select("item_id", "parts", six("coverage").alias("coverage"), "distinct_sources", "longest_run", "agreements", six("best_score").alias("best_score"), "dominant_source", six("dominant_share").alias("dominant_share"))
+    """Where each passage's sentences and the passage may come from, by meaning and by wording."""
+    asked, corpus = _texts(spark, sf_dir)
+    asked_vectors, corpus_vectors = _encoded(asked, "passage-vectors"), _encoded(corpus, "document-vectors")
+    semantic, merged = _candidates(asked, corpus, asked_vectors, corpus_vectors)
+    whole_sem = semantic.filter("rank = 1").select(F.col("query_id").alias("item_id"), F.col("cosine").alias("whole_sem_score"), F.col("corpus_id").alias("whole_sem_source"))
+    whole_lex = candidates.rerank(merged, asked, corpus, 1).select(F.col("query_id").alias("item_id"), F.col("score").alias("whole_lex_score"), F.col("corpus_id").alias("whole_lex_source"))
+    some = corpus_vectors.filter("corpus_id % 50 = 0").select(F.col("corpus_id").alias("query_id"), "v")  # a stated set of documents against all
+    usual = knn.top_k(some, corpus_vectors.select("corpus_id", "v"), 1, skip_same=True).select(F.lit("all").alias("scope"), F.col("cosine").alias("value"))
+    ranked = scores.percentile_rank(whole_sem.select(F.lit("all").alias("scope"), "item_id", F.col("whole_sem_score").alias("value")), usual, ["scope"], "item_id", "value")
+    parts, own = materialize(_sentences(asked.withColumnRenamed("query_id", "item_id"), "item_id", "query_id"), "passage-sentences"), materialize(_sentences(corpus, "corpus_id", "corpus_id"), "document-sentences")
+    near, mixed = _candidates(parts.select("query_id", "text"), own.select("corpus_id", "text"), _encoded(parts, "sentence-vectors"), _encoded(own.select("corpus_id", "text").repartition("corpus_id"), "document-sentence-vectors"))
+    worded = candidates.rerank(mixed, parts.select("query_id", "text"), own.select("corpus_id", "text"), 1)
+    owner = F.shiftright("corpus_id", 20)
+    sem = near.filter("rank = 1").select("query_id", owner.alias("sem_source"), F.col("cosine").alias("sem_score"))
+    lex = worded.select("query_id", owner.alias("lex_source"), F.col("score").alias("lex_score"))
+    found = provenance.profile(parts.select("query_id", F.col("owner").alias("item_id"), "ordinal").join(sem, "query_id", "left").join(lex, "query_id", "left"), "item_id", "ordinal")
+    full = found.join(whole_sem, "item_id", "left").join(whole_lex, "item_id", "left").join(ranked.select("item_id", F.col("percentile_rank").alias("whole_sem_percentile")), "item_id", "left")
+    known = documents(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.col("source").alias("author"), F.col("lang").alias("title"))
+    for source in ("whole_sem_source", "whole_lex_source", "sem_dominant_source", "lex_dominant_source"):
+        full = provenance.attribute(full, known, source, ["title", "author"])
+    rounded = {f.name: six(f.name) for f in full.schema.fields if f.dataType.typeName() == "double"}
+    order = [F.desc(F.coalesce(c, F.lit(0.0))) for c in ("whole_sem_score", "sem_dominant_coverage", "whole_lex_score")]
+    return full.withColumns(rounded).orderBy(*order, "item_id")
 
 
 @query(f"""
