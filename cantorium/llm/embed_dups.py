@@ -1,11 +1,12 @@
 """Near-duplicate vectors by cosine, found on a robust-pruned flat graph.
 
-Equal vectors are one node. Nodes go to the shard of their nearest cluster centre and to those of all centres that a link
-may lead to, so shards overlap and both ends of every link share one: two nodes with different nearest centres lie on
-either side of the plane midway between these, and if they are within the threshold's angle, one of them is within half
-of it of that plane. Centres nearer to each other than that angle are one, so a hot group is not torn. A cluster that is
-too large for one task is dealt into parts, and every pair of parts is a shard, so none of its links is out of reach.
-Where vectors have so little structure that shards would mostly overlap, all nodes are one cluster in parts.
+Equal vectors are one node. Nodes go to the shard of their nearest cluster centre and to those of other centres that a link
+may lead to, so shards overlap. Two nodes with different nearest centres lie on either side of the plane midway between
+these, and if they are linked, one of them is within half their distance of that plane, so with a margin of half the
+longest link both share a shard. Of a link in a random direction only a part of about 1 / sqrt(dimensions) points at the
+plane, so a margin of REACH such parts reaches nearly all links at a fraction of the overlap; the audit below tells if it
+does. Centres nearer to each other than a link are one, so a hot group is not torn. A cluster that is too large for one task
+is dealt into parts, and every pair of parts is a shard, so none of its links is out of reach.
 
 In each shard a node's nearest nodes and some far ones are pruned robustly to a short adjacency list, to which the nearest
 of those that list it are added; a node's lists from all its shards are united, and cut to bounded length in each shard
@@ -14,7 +15,7 @@ node it did not meet goes on from there too. Then it expands through everything
 double precision.
 
 Every run is audited: the links of a bounded sample of rows are found by brute force against all rows. A recall under
-LEAST_RECALL makes the run search its shards exhaustively instead, which finds all links, as both ends share a shard.
+LEAST_RECALL makes the run place nodes with the whole margin and search its shards exhaustively, which finds all links.
 
 Links inside a cluster are handed on as counts for each node and a spanning forest, links across clusters as pairs, so a
 group of b near copies in one cluster gives about b rows.
@@ -51,6 +52,8 @@ NEAREST, FAR, DEGREE, FAR_DEGREE, REVERSE, ALPHA = 40, 12, 16, 6, 16, 1.2
 #: Longest list that a search reads.
 WIDTH = 96
 MEDOIDS, HOPS, SLACK = 8, 16, 0.05
+#: Parts of a link towards a plane that the margin of a cluster covers.
+REACH = 2.5
 QUERIES = 256
 #: Rows whose links an audit finds by brute force.
 AUDITED = 64
@@ -85,16 +88,21 @@ def merge_centres(sample: np.ndarray, centres: np.ndarray, threshold: float) ->
     return centres[kept]
 
 
-def places(e: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of length 1: each row's nearest centre, and which centres' shards it goes to (rows x centres), so that rows within the threshold share one."""
+def places(e: np.ndarray, centres: np.ndarray, threshold: float, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of length 1: each row's nearest centre, and which centres' shards it goes to (rows x centres).
+
+    With the whole margin, rows within the threshold of each other always share one; else all but very few do.
+    """
     reach = np.sin(np.arccos(np.clip(threshold, -1, 1)) / 2)
+    if not whole:
+        reach *= min(1.0, REACH / e.shape[1] ** 0.5)
     between = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
     sims = e @ centres.T
     main = sims.argmax(1)
     return main, sims[np.arange(len(e)), main][:, None] - sims <= reach * between[main] + 1e-9
 
 
-def choose_centres(sample: np.ndarray, k: int, total: int, threshold: float) -> np.ndarray:
+def choose_centres(sample: np.ndarray, k: int, total: int, threshold: float, whole: bool = False) -> np.ndarray:
     """At most k centres, as many as make the shards' work least: the squares of their sizes, twice for those in parts."""
     best, least = fit_centres(sample, 1), float("inf")
     if k == 1 or not len(sample):
@@ -102,7 +110,7 @@ def choose_centres(sample: np.ndarray, k: int, total: int, threshold: float) ->
     for many in sorted({1, *(max(1, k >> i) for i in range(0, 11, 2))}):
         centres = fit_centres(sample, many) if many > 1 else best
         centres = merge_centres(sample, centres / np.linalg.norm(centres, axis=1, keepdims=True), threshold)
-        held = sum(places(sample[i : i + 1024], centres, threshold)[1].sum(0) for i in range(0, len(sample), 1024))
+        held = sum(places(sample[i : i + 1024], centres, threshold, whole)[1].sum(0) for i in range(0, len(sample), 1024))
         size = held * (total / len(sample))
         work = float((size**2 * np.where(size > PART, 2, 1)).sum())
         if work < least:
@@ -238,20 +246,20 @@ def _scaled(e: np.ndarray) -> np.ndarray:
     return e / np.linalg.norm(e, axis=1, keepdims=True)
 
 
-def _place(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def _place(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float, whole: bool) -> DataFrame:
     """Each node in the clusters of places(); main: the nearest. Vectors are scaled to length 1; a length without centres has one cluster."""
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            lengths = whole.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        for all_rows in batches:
+            lengths = all_rows.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for length in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == length)
                 known = shared.value.get(length)
                 for at in range(0, len(own), 1024):
-                    batch = whole.take(pa.array(own[at : at + 1024]))
+                    batch = all_rows.take(pa.array(own[at : at + 1024]))
                     e = _scaled(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, length))
-                    main, held = places(e, known, threshold) if known is not None else (np.zeros(len(e), int), np.ones((len(e), 1), bool))
+                    main, held = places(e, known, threshold, whole) if known is not None else (np.zeros(len(e), int), np.ones((len(e), 1), bool))
                     row, cluster = np.nonzero(held)
                     vectors = pa.FixedSizeListArray.from_arrays(pa.array(e[row].reshape(-1)), length).cast(pa.list_(pa.float64()))
                     took = pa.array(row)
@@ -265,7 +273,7 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return np.stack(rows.to_numpy()).astype(float)
 
 
-def _centres(nodes: DataFrame, threshold: float) -> dict[int, np.ndarray]:
+def _centres(nodes: DataFrame, threshold: float, whole: bool) -> dict[int, np.ndarray]:
     """Centres by vector length, fitted on a bounded sample of the nodes (node, n, e)."""
     totals = {r[0]: r[1] for r in nodes.groupBy(F.size("e")).count().collect()}  # a row for each length
     most = sum(totals.values())
@@ -278,13 +286,13 @@ def _centres(nodes: DataFrame, threshold: float) -> dict[int, np.ndarray]:
     for length, own in drawn.items():
         own.sort()
         k = max(1, min(MOST_CENTRES, totals[length] // SHARD, len(own) // 8))
-        found[length] = choose_centres(_scaled(np.array([e for _, e in own], float)), k, totals[length], threshold)
+        found[length] = choose_centres(_scaled(np.array([e for _, e in own], float)), k, totals[length], threshold, whole)
     return found
 
 
-def _dealt(nodes: DataFrame, threshold: float) -> DataFrame:
+def _dealt(nodes: DataFrame, threshold: float, whole: bool = False) -> DataFrame:
     """Nodes by shard: cluster, p, q, part, main, node, n, e. A shard is a cluster, or two parts of one that is too large for a task."""
-    placed = materialize(_place(nodes, _centres(nodes, threshold), threshold), "dup-places")
+    placed = materialize(_place(nodes, _centres(nodes, threshold, whole), threshold, whole), "dup-places")
     large = placed.groupBy("cluster").count().filter(F.col("count") > PART)  # at most MOST_CENTRES rows for each length
     large = large.select("cluster", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     dealt = placed.join(F.broadcast(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -354,13 +362,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     named = rows.filter(F.col("e").isNotNull() & F.col("vec_id").isNotNull())
     nodes = named.groupBy("e").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")  # ids may have several vectors
-    dealt = _dealt(nodes, threshold)
-    found = _classes(rows, named, nodes, materialize(_links(dealt, threshold), "dup-links"))
+    found = _classes(rows, named, nodes, materialize(_links(_dealt(nodes, threshold), threshold), "dup-links"))
     true, counted = audit(vectors, found, threshold)
     _log.info("audit: %d of %d links found", counted, true)
     if counted < LEAST_RECALL * true:
         _log.warning("recall %.3f is below %.2f: shards are searched exhaustively", counted / true, LEAST_RECALL)
-        found = _classes(rows, named, nodes, materialize(_links(dealt, threshold, by_graph=False), "dup-links"))
+        found = _classes(rows, named, nodes, materialize(_links(_dealt(nodes, threshold, True), threshold, by_graph=False), "dup-links"))
     return found
 
 
