@@ -188,3 +188,19 @@ def fill_prompt(template: Column, pool: Column, theme: Column, key: Column) -> C
     """{cipai} by a hash-picked name of the pool and {theme} by the theme."""
     picked = F.element_at(pool, (F.pmod(F.xxhash64(key), F.size(pool)) + 1).cast("int"))
     return F.replace(F.replace(template, F.lit("{cipai}"), F.coalesce(picked, F.lit(""))), F.lit("{theme}"), F.coalesce(theme, F.lit("")))
+
+
+def splice(text: Column, first: str, after: str, new: str) -> Column:
+    """A text with its lines from the one that begins with `first` up to the next that begins with `after` replaced; as it is without both."""
+    lines = F.split(text, "\n")
+    begin = F.array_position(F.transform(lines, lambda x: x.startswith(first)), True)
+    rest = F.slice(lines, F.greatest(begin, F.lit(1)).cast("int"), F.size(lines))
+    length = F.array_position(F.transform(rest, lambda x: x.startswith(after)), True) - 1
+    joined = F.array_join(F.concat(F.slice(lines, F.lit(1), (F.greatest(begin, F.lit(1)) - 1).cast("int")), F.array(F.lit(new)), F.slice(rest, (F.greatest(length, F.lit(0)) + 1).cast("int"), F.size(lines))), "\n")
+    return F.when((begin > 0) & (length >= 0), joined).otherwise(text)
+
+
+def rename_headings(text: Column, names: dict[str, str]) -> Column:
+    """A Markdown text whose headings of these names (without their marks) have others."""
+    renamed = F.transform(F.split(text, "\n"), lambda x: F.concat(F.regexp_extract(x, "^(#+ +)?", 0), F.when(x.startswith("#"), lookup(F.regexp_replace(x, "^#+ +", ""), names)).otherwise(x)))
+    return F.array_join(renamed, "\n")

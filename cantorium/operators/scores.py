@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cantorium.functions import stats
 from cantorium.operators.quantiles import ordered_sums
+from cantorium.session import bounded
 
 
 def roll_up(df: DataFrame, score: Column, issue: Column, sets: list[list[str]], kinds: tuple[str, ...] = (), least: int = 1) -> DataFrame:
@@ -37,7 +38,7 @@ def roll_up(df: DataFrame, score: Column, issue: Column, sets: list[list[str]],
 def issue_breakdown(df: DataFrame, groups: list[str], key: str, issue: str, kinds: DataFrame) -> DataFrame:
     """For every group and every kind of issue (column of kinds, a few rows) the rows with it and the issues, zero-filled."""
     counted = df.groupBy(*groups, issue).agg(F.count(F.lit(1)).alias("issues"), F.countDistinct(key).alias("rows_with_issue"))
-    every = df.select(*groups).distinct().crossJoin(F.broadcast(kinds))
+    every = df.select(*groups).distinct().crossJoin(bounded(kinds, "the list of kinds"))
     return every.join(counted, [*groups, issue], "left").na.fill(0, ["issues", "rows_with_issue"]).select(*groups, issue, "rows_with_issue", "issues")
 
 
@@ -65,7 +66,7 @@ def condition_deltas(summary: DataFrame, specs: DataFrame, condition: str, keys:
     """For each (from, to) of specs the change of every value between the two conditions, by keys."""
     left = summary.select(F.col(condition).alias("from"), *keys, *[F.col(v).alias(f"{v}_from") for v in values])
     right = summary.select(F.col(condition).alias("to"), *keys, *[F.col(v).alias(f"{v}_to") for v in values])
-    joined = F.broadcast(specs).join(left, "from").join(right, ["to", *keys])
+    joined = bounded(specs, "the list of condition pairs").join(left, "from").join(right, ["to", *keys])
     return joined.select("from", "to", *keys, *[(F.col(f"{v}_to") - F.col(f"{v}_from")).alias(f"{v}_delta") for v in values])
 
 

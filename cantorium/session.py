@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "cantorium") -> SparkSession:
@@ -40,6 +41,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
+#: Rows of a table that is sent to every task by a hint.
+MOST_BROADCAST = 100_000
+
+
+def bounded(df: DataFrame, what: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """A broadcast of a table whose size is checked first; more rows than `most` are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"{what} has more than {most} rows")
+    return F.broadcast(df)
+
+
 _own_dir: list[str] = []
 
 
@@ -57,9 +69,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_written: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Remove the tables that materialize() wrote in this process, once nothing reads them any more; returns how many."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,19 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits: int | None = 6, mode: str = "overwrite") -> None:
-    """CSV with a header; numbers with so many decimals (None: as they are); arrays and structs as JSON."""
+def union_of_columns(frames: list[DataFrame]) -> DataFrame:
+    """Rows of several tables with the union of their columns, in order of first appearance; what a table lacks is null."""
+    found = frames[0]
+    for frame in frames[1:]:
+        found = found.unionByName(frame, allowMissingColumns=True)
+    return found
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits: int | None = 6, mode: str = "overwrite", headers: dict[str, str] | None = None, bom: bool = False) -> None:
+    """CSV with a header; numbers with so many decimals (None: as they are); arrays and structs as JSON.
+
+    headers: other names for columns, such as localised ones. bom: begin each file with a byte order mark, as spreadsheets want.
+    """
     out = []
     for field in df.select(*columns).schema if columns else df.schema:
         c = F.col(f"`{field.name}`")
@@ -25,7 +37,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits
             c = F.when(F.col(f"`{field.name}`").isNotNull(), c)
         elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
             c = F.to_json(c)
-        out.append(c.alias(field.name))
+        name = (headers or {}).get(field.name, field.name)
+        out.append(c.alias(f"\ufeff{name}" if bom and not out else name))
     df.select(*out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
@@ -44,6 +57,22 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     return "\n".join([*lines, *("| " + " | ".join(cell(x) for x in row) + " |" for row in rows)]) + "\n"
 
 
+def chart_html(title: str, data: dict[str, DataFrame], most: int = 20_000) -> str:
+    """A page that carries the data of a chart (nodes and edges, boxes, a matrix, a density) as JSON and shows it as tables; drawing is left to the reader."""
+    found = {}
+    for name, df in data.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"a chart of more than {most} rows")
+        found[name] = [row.asDict(recursive=True) for row in rows]
+    cell = lambda x: "" if x is None else escape(f"{x:.4f}" if isinstance(x, float) else str(x))
+    head = lambda df: "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+    body = lambda rows: "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>" for r in rows)
+    tables = "".join(f"<h2>{escape(name)}</h2><table><tr>{head(df)}</tr>{body(found[name])}</table>" for name, df in data.items())
+    told = json.dumps(found, ensure_ascii=False, default=str).replace("</", "<\\/")
+    return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><h1>{escape(title)}</h1>{tables}<script type="application/json" id="data">{told}</script>\n'
+
+
 def run_metadata(counts: dict[str, DataFrame], **settings) -> str:
     """A run's settings and the row counts of its tables as JSON."""
     return json.dumps(settings | {name: df.count() for name, df in counts.items()}, ensure_ascii=False, indent=2, sort_keys=True)
@@ -95,4 +124,4 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     root = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<providers:map<string,struct<api_key:string,base_url:string>>,tasks:array<struct<{TASK}>>>").alias("c"))
     tasks = root.select(F.posexplode("c.tasks").alias("place", "task")).select("place", "task.*")
     providers = root.select(F.explode(F.map_entries("c.providers")).alias("p")).select(F.col("p.key").alias("provider"), "p.value.*")
-    return tasks.join(F.broadcast(providers), "provider", "left")  # a configuration file's few providers
+    return tasks.join(providers, "provider", "left")

@@ -38,7 +38,7 @@ def ask(requests: DataFrame, make_client: MakeClient, partitions: int) -> DataFr
 
 def generate(tasks: DataFrame, prompts: DataFrame, make_client: MakeClient, partitions: int = 8) -> DataFrame:
     """Tasks times their requests through the client to parsed poems: task, request, cipai, title, content, raw_response, error."""
-    requests = tasks.join(F.broadcast(prompts), "prompt_name").withColumn("request", F.explode(F.sequence(F.lit(1), F.col("total_requests"))))
+    requests = tasks.join(prompts, "prompt_name").withColumn("request", F.explode(F.sequence(F.lit(1), F.col("total_requests"))))
     prompt = fill_prompt(F.col("template"), F.col("cipai_pool"), F.col("theme"), F.concat_ws("|", "name", "request"))
     answered = ask(requests.select("name", "request", "model", prompt.alias("prompt")), make_client, partitions)
     parsed = answered.withColumn("poem", llm_object(F.col("raw_response"), "cipai string, title string, content string"))

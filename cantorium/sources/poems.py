@@ -21,6 +21,12 @@ GENERATED = "id bigint, cipai string, title string, content string, imagery stri
 HUMAN = "id bigint, author string, full_rhythmic string, cipai string, content string, rhythm_score double"
 
 
+def create_table(spark: SparkSession, name: str, schema: str = GENERATED) -> DataFrame:
+    """The table of poems, made if it is not there yet."""
+    spark.sql(f"create table if not exists {name} ({schema}) using parquet")
+    return spark.table(name)
+
+
 def model_name(raw: Column, known: dict[str, str] | None = None) -> Column:
     """The canonical name; empty ones are Unknown, unknown ones pass through. known: another version of the map."""
     return lookup(F.coalesce(F.nullif(raw, F.lit("")), F.lit("Unknown")), MODEL_NAMES if known is None else known)
@@ -43,14 +49,14 @@ def generated(rows: DataFrame, least_score: float = 60, metadata: DataFrame | No
         "db", "id", F.concat_ws(":", "db", "id").alias("uid"), "cipai", "title", "content", json_list(F.col("imagery")).alias("imagery"), strip(F.col("category")).alias("category"),
         model_name(F.col("model_name")).alias("model"), F.coalesce("rhythm_score", F.lit(0.0)).alias("rhythm_score"), error_list(F.col("rhythm_errors")).alias("errors"),
     )
-    return out if metadata is None else out.join(F.broadcast(metadata), "db")  # one row an experiment
+    return out if metadata is None else out.join(metadata, "db")
 
 
 def human(rows: DataFrame, tunes: DataFrame | None = None, trimmed: bool = True) -> DataFrame:
     """The human corpus, of some tunes (column cipai) only if given."""
     kept = rows.filter(has_content(F.col("content"), trimmed))
     kept = kept.select("id", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("full_rhythmic", "cipai").alias("full_rhythmic"), "cipai", "content", "rhythm_score")
-    return kept if tunes is None else kept.join(F.broadcast(tunes.select("cipai").distinct()), "cipai", "left_semi")  # a list of tune names
+    return kept if tunes is None else kept.join(tunes.select("cipai").distinct(), "cipai", "left_semi")
 
 
 def allowed_tunes(metadata: DataFrame, free: DataFrame) -> DataFrame:
