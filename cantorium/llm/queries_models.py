@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantorium.llm import embed_dups, language, topk, toxicity
-from cantorium.session import table
+from cantorium.session import spread, table
 
 
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     held = F.coalesce(toxicity.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     model = toxicity.train(docs, labels, ~held)
     scored = toxicity.score(docs, model)
@@ -22,7 +22,7 @@ def op6_flat_graph_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held = F.coalesce(toxicity.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     found = language.predict(docs, language.train(docs, ~held))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
