@@ -13,7 +13,7 @@ finds the same links. A fingerprint of many documents is joined to them by a bro
 Defined results: text that is null or has no words has fingerprint zero and is linked like any other; a null doc_id gets
 its fingerprint's component and is never the smallest id; repeated rows have one row each; an empty table gives none;
 further columns of any name are ignored, or kept by drop_duplicates(). Of several rows of one id and class
-drop_duplicates() keeps the one with the smallest text in code point order.
+drop_duplicates() keeps the one with the smallest fingerprint, then the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -71,14 +71,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a long."""
+    """doc_id, text_hash, fp: the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +201,7 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp, root, component_id of every document. root: a fingerprint of its class, of which several may have one component_id where ids repeat."""
+    """doc_id, text_hash, fp, root, component_id of every document. root: a fingerprint of its class, of which several may have one component_id where ids repeat."""
     prints = materialize(fingerprints(docs, shingle), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     tied = components(links(nodes, most)).withColumnRenamed("node", "fp")
@@ -208,7 +209,7 @@ def _rooted(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     named = materialize(rooted.join(least, "root").select("fp", "n", "root", "component_id"), "simhash-classes")
-    return attach(prints, named, "fp", "n", total).select("doc_id", "fp", "root", "component_id")
+    return attach(prints, named, "fp", "n", total).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
@@ -223,18 +224,12 @@ def hexadecimal(fp) -> object:
 
 def drop_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
     """A row of docs for each class, of its smallest id; rows without an id stay, and so do texts of other classes under one id."""
-
-    @F.arrow_udf("long")
-    def printed(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts.cast(pa.binary())], np.uint64).view(np.int64))
-
     own = _rooted(docs, shingle, most).filter(F.col("doc_id") == F.col("component_id"))
-    kept_id, kept_fp, fp = free(docs, "kept_id", "kept_fp", "fp")
-    kept = own.groupBy("root", F.col("doc_id").alias(kept_id)).agg(F.min("fp").alias(kept_fp)).drop("root")
-    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(fp, printed(F.col("text").cast("string")))
-    same = (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(fp) == F.col(kept_fp))
+    kept_id, kept_hash, text_hash = free(docs, "kept_id", "kept_hash", "text_hash")
+    kept = own.groupBy("root", F.col("doc_id").alias(kept_id)).agg(F.min(F.struct("fp", "text_hash"))["text_hash"].alias(kept_hash)).drop("root")
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(text_hash, F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("doc_id").cast("long") == F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    order = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")), row_hash(docs))
-    first = named.join(kept, same, "left_semi").groupBy(F.col("doc_id").alias(kept_id), fp).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    first = named.join(kept, same, "left_semi").groupBy(F.col("doc_id").alias(kept_id), text_hash).agg(F.min_by(F.struct(*columns), row_hash(docs)).alias("row"))
     first = first.select([F.col("row").getField(c).alias(c) for c in docs.columns])
     return first.unionByName(docs.filter(F.col("doc_id").isNull()).select(*columns))
