@@ -22,7 +22,7 @@ END_ID = 1
 END = np.array([END_ID], "<u4").tobytes()
 TOKENIZER = "word_bpe_49k.json"
 #: Words that one process remembers (about 0.2 KB each); beyond it the memo starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
