@@ -27,7 +27,7 @@ def lexicon(spark):
 
 
 def _values(rows) -> str:
-    cell = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    cell = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else f"'{x}'"
     return ", ".join("(" + ", ".join(cell(x) for x in r) + ")" for r in rows)
 
 

@@ -121,7 +121,12 @@ TASK = "name:string,provider:string,model:string,prompt_name:string,cipai_pool:a
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Tasks with their provider's base_url and api_key, null where the provider is unknown."""
-    root = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<providers:map<string,struct<api_key:string,base_url:string>>,tasks:array<struct<{TASK}>>>").alias("c"))
+    return task_rows(spark.read.text(path, wholetext=True))
+
+
+def task_rows(text: DataFrame) -> DataFrame:
+    """read_tasks() from a configuration's text (column value)."""
+    root = text.select(F.from_json("value", f"struct<providers:map<string,struct<api_key:string,base_url:string>>,tasks:array<struct<{TASK}>>>").alias("c"))
     tasks = root.select(F.posexplode("c.tasks").alias("place", "task")).select("place", "task.*")
     providers = root.select(F.explode(F.map_entries("c.providers")).alias("p")).select(F.col("p.key").alias("provider"), "p.value.*")
     return tasks.join(providers, "provider", "left")
