@@ -5,8 +5,8 @@ words that a source gives until time t are the integral of its schedule; a docum
 words, put through the inverse of that integral, is its training position. A source that gives more words than it has
 goes round again, so a document has a position for each of its copies.
 
-A source's documents are ordered by a hash of their ids. Cumulative words come from sums over hash buckets and, within
-a bucket, a window, so no source is ever gathered in one task.
+A source's documents are ordered by a hash of their ids, then of their whole rows, then by a number. Cumulative words come
+from sums over range partitions of that order and, within one, a window, so no source, id or row is ever gathered in one task.
 
 Defined results: null text has size 0; null sources form one source, ordered last; null doc_ids are mixed like others;
 rows that share an id or all columns are separate documents; an empty table gives an empty plan; further columns of any name are left alone.
@@ -26,8 +26,6 @@ WEIGHTS = (5, 2, 1)
 CURVES = (((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 #: A source gives at most so many times its words.
 MOST_REPEATS = 3
-#: Bits of the hash that choose a bucket; a bucket of a source is the largest group that one task orders.
-BUCKET_BITS = 12
 _KEY_BITS = 60
 
 
@@ -118,13 +116,15 @@ def plan_rows(docs: DataFrame, row: str, weights: tuple[float, ...] = WEIGHTS, c
         row_hash(docs.drop(row)).alias("row_hash"),
         word_count(text).alias("size"),
         F.conv(F.substring(F.md5(name), 1, _KEY_BITS // 4), 16, 10).cast("long").alias("key"),
-    ).withColumn("bucket", F.shiftright("key", _KEY_BITS - BUCKET_BITS))
-    rows = materialize(rows, "mix-sizes")
+    )
+    order = ["key", "row_hash", "number"]
+    rows = materialize(rows.withColumn("number", F.monotonically_increasing_id()), "mix-sizes")
+    rows = materialize(rows.repartitionByRange("source_key", *order).withColumn("bucket", F.spark_partition_id()), "mix-ordered")
     buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(buckets.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")), weights, most)
     so_far = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0))).join(goals, "source_key")
-    within = Window.partitionBy("source_key", "bucket").orderBy("key", "doc_id", "size", "row_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(offsets, ["source_key", "bucket"]).withColumn("at", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
 
     def position(share: Column) -> Column:

@@ -74,6 +74,18 @@ def test_mix_keeps_rows_that_differ_in_another_column(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, docs.collect()))
 
 
+def test_a_third_of_the_rows_under_one_id(spark):
+    rows = [(7, f"w{i} " * (i % 9), "s") for i in range(300)] + [(None, "same words", "s")] * 300 + [(1000 + i, "a b", "t") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.plan(docs).collect()
+    assert len(got) == 900 and all(r.taken == r.size * len(r.positions) <= 3 * r.size for r in got)
+    for s in "st":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8
+    key = lambda r: (r.doc_id or -1, r.source, r.size, tuple(r.positions))
+    assert sorted(map(key, mixing.plan(docs.repartition(2)).collect())) == sorted(map(key, got))
+
+
 def test_targets_of_many_sources(spark):
     rng = random.Random(9)
     sizes = {f"s{i:04d}": rng.choice([0, 1, 10, 100, 10_000]) for i in range(700)}
