@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -230,3 +231,71 @@ def test_machine_local_folder_only_in_local_sessions():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_hidden_connections_against_loops(spark):
+    vectors = {r.vec_id: (unit(r.embedding), r.label) for r in table(spark, SF, "embeddings").collect()}
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    ids = sorted(set(vectors) & set(docs))
+    want = {}
+    for at, a in enumerate(ids):
+        for b in ids[at + 1 :]:
+            if vectors[a][1] == vectors[b][1]:
+                cosine = float(vectors[a][0] @ vectors[b][0])
+                if cosine >= 0.3 and ratio(docs[a], docs[b]) <= 0.45:
+                    want[a, b] = (cosine, ratio(docs[a], docs[b]))
+    rows = registry.QUERIES["hidden_connections"](spark, SF).collect()
+    assert {(r.vec_id_a, r.vec_id_b) for r in rows} == set(want)
+    assert all([r.cosine, r.lexical] == pytest.approx(want[r.vec_id_a, r.vec_id_b], abs=2e-6) for r in rows)
+    gaps = [r.cosine - r.lexical for r in rows]
+    assert all(x >= y - 3e-6 for x, y in zip(gaps, gaps[1:]))
+
+
+def plain_overlap(a, b):
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return 0.85
+    return max(len(set(a) & set(b)) / len(set(a) | set(b)), ratio(a, b))
+
+
+def test_soft_jaccard_pairs_against_loops(spark):
+    turns = {}
+    for r in table(spark, SF, "conversations").collect():
+        words = sorted({w for w in "".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split()})
+        turns.setdefault(r.conv_id, {})[r.turn] = words
+    rows = registry.QUERIES["soft_jaccard_pairs"](spark, SF).collect()
+    assert len(rows) == sum(len(t) * (len(t) - 1) // 2 for t in turns.values())
+    for r in rows[:25]:
+        left, rest, matched = turns[r.conv_id][r.turn_a], list(turns[r.conv_id][r.turn_b]), 0
+        total = len(left) + len(rest)
+        for word in left if rest else []:
+            scores = [plain_overlap(word, other) for other in rest]
+            if scores and max(scores) >= 0.67:
+                rest.pop(scores.index(max(scores)))
+                matched += 1
+        assert r.similarity == pytest.approx(matched / (total - matched) if matched else 0.0, abs=2e-6)
+
+
+def test_provenance_profile_against_loops(spark):
+    encode = hashed_ngrams()()
+    docs = [r for r in table(spark, SF, "documents").collect()]
+    asked = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
+    rows = {r.item_id: r for r in registry.QUERIES["provenance_profile"](spark, SF).collect()}
+    assert set(rows) == set(asked)
+    vectors = unit(np.float32(encode([d.text or "" for d in docs])))
+    split = lambda t: [s for s in (p.strip() for p in re.split(r"[,.!?;\n]", t)) if s]
+    by_id = {d.doc_id: d for d in docs}
+    sentences = [(d.doc_id, s) for d in docs for s in split(d.text or "")]
+    sentence_vectors = unit(np.float32(encode([s for _, s in sentences])))
+    for item in sorted(rows)[:6]:
+        r, sims = rows[item], vectors @ unit(np.float32(encode([asked[item]])))[0]
+        assert r.whole_sem_score == pytest.approx(float(sims.max()), abs=1e-5) and sims[[d.doc_id for d in docs].index(r.whole_sem_source)] == pytest.approx(float(sims.max()), abs=1e-5)
+        assert r.whole_sem_source_author == by_id[r.whole_sem_source].source and r.whole_sem_source_title == by_id[r.whole_sem_source].lang
+        assert r.whole_lex_score == pytest.approx(ratio(asked[item], by_id[r.whole_lex_source].text), abs=2e-6) and 0 <= r.whole_sem_percentile <= 1
+        parts = split(asked[item])
+        best = (sentence_vectors @ unit(np.float32(encode(parts))).T).max(0)
+        assert r.sentence_count == len(parts) and r.max_sentence_sem_score == pytest.approx(float(best.max()), abs=1e-5)
+        assert r.mean_sentence_sem_score == pytest.approx(float(best.mean()), abs=1e-5)
+    first = rows[min(rows)]
+    assert first.max_sentence_lex_score <= max(ratio(p, s) for p in split(asked[min(rows)]) for _, s in sentences) + 1e-6
