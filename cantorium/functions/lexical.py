@@ -6,6 +6,7 @@ import difflib
 import json
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +30,41 @@ def token_overlap(a: str, b: str) -> float:
     return max(len(left & right) / len(left | right), ratio(a, b))
 
 
+def _sets(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its length, its number of different characters, and these as bits (characters 64 apart share one)."""
+    bits = [0] * len(tokens)
+    for i, token in enumerate(tokens):
+        for c in token:
+            bits[i] |= 1 << (ord(c) & 63)
+    return np.array([len(t) for t in tokens]), np.array([len(set(t)) for t in tokens]), np.array(bits, np.uint64)
+
+
+def _able(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """Which pairs of tokens may overlap by so much: characters that only one of them has bound both measures from above."""
+    (na, sa, a), (nb, sb, b) = _sets(left), _sets(right)
+    only_a, only_b = (np.bitwise_count(x).astype(np.int64) for x in (a[:, None] & ~b[None], b[None] & ~a[:, None]))
+    same = np.minimum(na[:, None] - only_a, nb[None] - only_b)
+    common = np.minimum(sa[:, None] - only_a, sb[None] - only_b)
+    close = (2 * same >= least * (na[:, None] + nb[None])) | (common >= least * (sa[:, None] + sb[None] - common))
+    return close | (only_a == 0) | (only_b == 0)  # one may hold the other
+
+
 def soft_jaccard(a, b, least: float = 0.67) -> float:
     """tokens of a, in order, each take the best token of b that is left, if it is near enough."""
     left, rest = sorted(set(a if a is not None else ())), sorted(set(b if b is not None else ()))
     if not left or not rest:
         return 0.0
-    total, matched = len(left) + len(rest), 0
-    for token in left:
-        scores = [token_overlap(token, other) for other in rest]
-        best = max(scores, default=0.0)
+    able, free, matched = _able(left, rest, least), np.ones(len(rest), bool), 0
+    for i, token in enumerate(left):
+        best, at = 0.0, -1
+        for j in np.flatnonzero(able[i] & free).tolist():
+            score = token_overlap(token, rest[j])
+            if score > best:
+                best, at = score, j
         if best >= least:
-            rest.pop(scores.index(best))
+            free[at] = False
             matched += 1
-    return matched / (total - matched)
+    return matched / (len(left) + len(rest) - matched)
 
 
 def json_array(response: str | None) -> str | None:

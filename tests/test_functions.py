@@ -78,6 +78,19 @@ def test_soft_jaccard_bounds(a, b):
         assert lexical.soft_jaccard(a, b) == 1
 
 
+@given(st.sets(st.text("abcdé明月Ā", max_size=6), max_size=7), st.sets(st.text("abcdé明月Ā", max_size=6), max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_soft_jaccard_tries_every_pair_that_counts(a, b):
+    left, rest, matched = sorted(a), sorted(b), 0
+    total = len(left) + len(rest)
+    for token in left if rest else []:
+        scores = [lexical.token_overlap(token, other) for other in rest]
+        if scores and max(scores) >= 0.67:
+            rest.pop(scores.index(max(scores)))
+            matched += 1
+    assert lexical.soft_jaccard(a, b) == pytest.approx(matched / (total - matched) if matched else 0.0)
+
+
 def test_statistics_fixtures(spark):
     five = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0, 8.0, 16.0)], "x double")
     points = {f"p{p}": p for p in (25, 50, 75, 90, 95)}
