@@ -37,6 +37,9 @@ def free_target_sizes(df: DataFrame, tune: str, least_tune: int = 8, most: int =
 
 def whole_metrics(df: DataFrame, groups: list[str], key: str, vector: str, text: str | None = None, high: float = 0.85) -> DataFrame:
     """Per group the median, p90 and high share of the pairs' cosines, and with a text column the share of pairs nearer in meaning than in wording."""
+    if text is None:  # groups of any size
+        cuts = pairs.cosine_cuts(df, groups, key, vector, [50, 90], high)
+        return cuts.withColumnsRenamed({"p0": "whole_sem_p50", "p1": "whole_sem_p90", "share": "whole_highsim_ratio"})
     found = pairs.within(df, groups, key, [vector, *([text] if text else [])])
     sem = stats.cosine(F.col(f"{vector}_a"), F.col(f"{vector}_b"))
     found = found.select(*groups, sem.alias("sem"), *([seq_ratio(f"{text}_a", f"{text}_b").alias("lex")] if text else []))

@@ -3,11 +3,13 @@
 import difflib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cantorium.functions import lexical
 from cantorium.functions.encoder import hashed_ngrams
 from cantorium.operators import candidates, graph, homogeneity, knn, pairs, provenance, tables
 from cantorium.plans import registry, similarity
@@ -299,3 +301,60 @@ def test_provenance_profile_against_loops(spark):
         assert r.mean_sentence_sem_score == pytest.approx(float(best.mean()), abs=1e-5)
     first = rows[min(rows)]
     assert first.max_sentence_lex_score <= max(ratio(p, s) for p in split(asked[min(rows)]) for _, s in sentences) + 1e-6
+
+
+def dealt(spark, monkeypatch, n=230, dimensions=5):
+    """Vectors of two blocks in several small parts, with their cosines by block and pair; a vector without numbers is in no pair."""
+    for name, value in {"PART": 40, "TEXT_PART": 40, "LEAST_PART": 20, "ROWS": 7, "BATCH": 50}.items():
+        monkeypatch.setattr(pairs, name, value)
+    x = np.random.default_rng(3).normal(size=(n, dimensions)).astype(np.float32)
+    rows = [("g" if i % 3 else "h", i, x[i].tolist(), f"text {i % 11} of {i % 7}" * 9) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("g", 900, [float("nan")] * dimensions, ""), ("g", 901, None, "")], "g string, i long, v array<float>, t string")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(rows[a][0], a, b): float(u[a] @ u[b]) for a in range(n) for b in range(a + 1, n) if rows[a][0] == rows[b][0]}
+    return df, want, {i: t for _, i, _, t in rows}
+
+
+def test_pairs_of_parts_against_loops(spark, monkeypatch):
+    df, want, texts = dealt(spark, monkeypatch)
+    found = pairs.cosine_pairs(df, ["g"], "i", "v", 0.3).collect()
+    assert sorted((r.g, r.i_a, r.i_b) for r in found) == sorted(k for k, c in want.items() if c >= 0.3)
+    assert all(r.cosine == pytest.approx(want[r.g, r.i_a, r.i_b]) for r in found)
+    asked, corpus = df.filter("i % 5 = 0").withColumnRenamed("i", "q"), df.filter("i % 5 <> 0").withColumnRenamed("i", "c")
+    between = pairs.cosine_between(asked, corpus, ["g"], "q", "c", "v", 0.2).collect()
+    expected = [(g, a, b) if a % 5 == 0 else (g, b, a) for (g, a, b), c in want.items() if c >= 0.2 and (a % 5 == 0) != (b % 5 == 0)]
+    assert sorted((r.g, r.q, r.c) for r in between) == sorted(expected)
+    hidden = pairs.hidden_pairs(df, ["g"], "i", "v", "t", 0.3, 0.9).collect()
+    plain = {k: difflib.SequenceMatcher(None, texts[k[1]], texts[k[2]]).ratio() for k, c in want.items() if c >= 0.3}
+    assert {(r.g, r.i_a, r.i_b): r.lexical for r in hidden} == {k: x for k, x in plain.items() if x <= 0.9} and len(hidden) < len(plain)
+
+
+def test_measures_of_all_cosines_leave_a_task_as_few_rows(spark, monkeypatch):
+    df, want, _ = dealt(spark, monkeypatch)
+    monkeypatch.setattr(pairs, "MOST_VALUES", 10)  # so that bins are made finer
+    strongest = sorted(((g, a, b, c) for (g, a, b), c in want.items()), key=lambda r: (-r[3], r[1], r[2]))[:9]
+    top = pairs.top_pairs(df, ["g"], "i", "v", 9)
+    assert [(r.src, r.dst) for r in pairs.edges(top, "i_a", "i_b", "cosine", 9).collect()] == [r[1:3] for r in strongest] and top.count() <= 9 * 70
+    cuts = {r.g: r for r in pairs.cosine_cuts(df, ["g"], "i", "v", [0, 50, 90, 100], 0.8).collect()}
+    told = {r.g: r for r in pairs.cosine_statistics(df, ["g"], "i", "v", 0.2).collect()}
+    codes = pairs.tally(df, ["g"], "i", "v", lambda v: np.floor(v * 10).astype(np.int64), -10, 10).groupBy("g").pivot("code").sum("n").collect()
+    for g in "gh":
+        v = np.array([c for k, c in want.items() if k[0] == g])
+        assert [cuts[g].pairs, *cuts[g][2:6], cuts[g].share] == pytest.approx([len(v), *np.percentile(v, [0, 50, 90, 100]), (v >= 0.8).mean()])
+        assert list(told[g][1:]) == pytest.approx([len(v), v.mean(), v.max(), v.min(), (v >= 0.2).mean()])
+        assert sum(x or 0 for r in codes if r.g == g for x in r[1:]) == len(v)
+
+
+def test_ratio_is_difflibs():
+    rng = random.Random(5)
+    for n in range(600):
+        letters = rng.choice(["ab", "abcdefgh ", "xyzé漢\U0001f600", "abcdefghijklmnopqrstuvwxyzABC. "])
+        a = "".join(rng.choices(letters, k=rng.choice([0, 1, 40, 90, 250, 420])))
+        b = a[rng.randrange(9) :] + "!" if n % 9 == 0 else "".join(rng.choices(letters, k=rng.choice([0, 1, 40, 90, 199, 200, 330])))
+        assert lexical.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=30_000)) + "Q1"
+    other = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=30_000)) + "Q2"
+    before = time.perf_counter()
+    for _ in range(20):
+        lexical.ratio(long, other)
+    assert time.perf_counter() - before < 2
