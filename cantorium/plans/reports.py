@@ -86,9 +86,8 @@ def _sides(spark, sf_dir):
 def cross_corpus_pairs(spark, sf_dir):
     """Two corpora inside a group, above a threshold."""
     asked, corpus = _sides(spark, sf_dir)
-    left, right = asked.withColumnRenamed("la", "label").withColumnRenamed("v", "va"), corpus.withColumnRenamed("lb", "label").withColumnRenamed("v", "vb")
-    found = pairs.between(left, right, ["label"]).select("label", "query_id", "corpus_id", stats.cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    return found.filter("cosine >= 0.2").withColumn("cosine", six("cosine"))
+    found = pairs.cosine_between(asked.withColumnRenamed("la", "label"), corpus.withColumnRenamed("lb", "label"), ["label"], "query_id", "corpus_id", "v", 0.2)
+    return found.withColumn("cosine", six("cosine"))
 
 
 @query()
