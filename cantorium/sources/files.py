@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What an unquoted empty cell is taken for, so that a quoted one stays an empty text.
+NOTHING = "\ufdd0nothing"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header, quotes doubled inside quotes, line breaks inside cells; a byte order mark is dropped."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    """CSV with a header, quotes doubled inside quotes, line breaks inside cells; a byte order mark is dropped. Empty cells are null, quoted ones are empty texts."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", NOTHING)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -26,6 +30,7 @@ def union_of_columns(frames: list[DataFrame]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits: int | None = 6, mode: str = "overwrite", headers: dict[str, str] | None = None, bom: bool = False) -> None:
     """CSV with a header; numbers with so many decimals (None: as they are); arrays and structs as JSON.
+    Texts keep the white space at their ends, and empty ones are quoted.
 
     headers: other names for columns, such as localised ones. bom: begin each file with a byte order mark, as spreadsheets want.
     """
@@ -39,7 +44,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, digits
             c = F.to_json(c)
         name = (headers or {}).get(field.name, field.name)
         out.append(c.alias(f"\ufeff{name}" if bom and not out else name))
-    df.select(*out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*out).write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_text(df: DataFrame, path: str, line: str, mode: str = "overwrite") -> None:

@@ -23,6 +23,14 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/txt").collect()) == ["a!", "b!"]
 
 
+def test_csv_keeps_white_space_and_empty_texts(spark, tmp_path):
+    texts = [" lead", "trail ", "  ", "\t", "\rx", "x\r\n", "\n", "a\rb", ", ", "\x0bq", "x\x00", '" "', "", None, "\\", 'a\\"']
+    df = spark.createDataFrame([(i, t, 0.5 if i % 2 else None) for i, t in enumerate(texts)], "k long, t string, x double").coalesce(1)
+    files.write_csv(df, f"{tmp_path}/out")
+    back = files.read_csv(spark, f"{tmp_path}/out", "k long, t string, x double").collect()
+    assert sorted(tuple(r) for r in back) == [tuple(r) for r in df.collect()]
+
+
 def test_sqlite_scan_and_normalisation(spark, tmp_path):
     for db, rows in {"a1": [("菩萨蛮", "月", 80.0, "deepseek-v3.2"), ("菩萨蛮", "  ", 90.0, "x")], "b1": [("如梦令", "风", None, ""), ("如梦令", "雨", 10.0, "y")]}.items():
         con = sqlite3.connect(tmp_path / f"{db}.db")
