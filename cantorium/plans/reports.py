@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantorium.functions import stats
 from cantorium.functions.encoder import encode_column, hashed_ngrams
-from cantorium.functions.lexical import seq_ratio
+from cantorium.functions.lexical import with_ratio
 from cantorium.operators import descriptive as D
 from cantorium.operators import knn, pairs, provenance, scores
 from cantorium.operators.homogeneity import free_target_sizes
@@ -94,11 +94,11 @@ def cross_corpus_pairs(spark, sf_dir):
 def suspicion_report(spark, sf_dir):
     """The nearest row of the other corpus, with flags and a threat score from the sequence ratio of their documents; ids tie vectors to documents."""
     asked, corpus = _sides(spark, sf_dir)
-    top = knn.top_k(asked, corpus, 1).join(asked.select("query_id", "la"), "query_id").join(corpus.select("corpus_id", "lb"), "corpus_id")
+    top = materialize(knn.top_k(asked, corpus, 1), "nearest").join(asked.select("query_id", "la"), "query_id").join(corpus.select("corpus_id", "lb"), "corpus_id")
     docs = documents(spark, sf_dir)
     a, b = (docs.select(F.col("doc_id").alias(key), F.col("text").alias(name)) for key, name in (("query_id", "text_a"), ("corpus_id", "text_b")))
-    texts = top.join(a, "query_id", "left").join(b, "corpus_id", "left").repartition("query_id")
-    lexical = materialize(texts.withColumn("lexical", seq_ratio("text_a", "text_b")).drop("text_a", "text_b"), "suspects")
+    texts = top.join(a, "query_id", "left").join(b, "corpus_id", "left")
+    lexical = materialize(with_ratio(texts, "query_id", "text_a", "text_b", "lexical"), "suspects")
     return lexical.select(
         "query_id", "corpus_id", six("cosine").alias("cosine"), six("lexical").alias("lexical"), (F.col("la") != F.col("lb")).alias("cross_label"),
         six(stats.threat(F.col("cosine"), F.col("lexical"))).alias("threat"), stats.suspicious(F.col("cosine"), F.col("lexical")).alias("suspicious"),
@@ -110,10 +110,8 @@ def intra_text_similarity(spark, sf_dir):
     """Means and maxima of meaning and wording over the pairs of a conversation's turns, most alike first."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition("conv_id")
     turns = materialize(turns.withColumn("v", encode_column(F.col("text"), hashed_ngrams())), "turn-vectors")
-    found = pairs.within(turns, ["conv_id"], "turn", ["text", "v"]).repartition("conv_id", "turn_a", "turn_b")
-    found = found.select("conv_id", stats.cosine(F.col("v_a"), F.col("v_b")).alias("sem"), seq_ratio("text_a", "text_b").alias("lex"))
-    measures = [six(f(c)).alias(f"{n}_{c}") for c in ("sem", "lex") for n, f in (("avg", F.avg), ("max", F.max))]
-    return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pairs"), *measures).orderBy(F.desc("avg_sem"), "conv_id")
+    found = materialize(pairs.text_measures(turns, ["conv_id"], "turn", "v", "text"), "turn-measures")  # sorting reads them twice
+    return found.select("conv_id", "pairs", *[six(f"{n}_{c}").alias(f"{n}_{c}") for c in ("sem", "lex") for n in ("avg", "max")]).orderBy(F.desc("avg_sem"), "conv_id")
 
 
 _BASE = """

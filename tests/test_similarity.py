@@ -358,3 +358,21 @@ def test_ratio_is_difflibs():
     for _ in range(20):
         lexical.ratio(long, other)
     assert time.perf_counter() - before < 2
+
+
+def test_measures_of_texts_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TOKEN_PART", 9)
+    monkeypatch.setattr(pairs, "TURNS", 9)
+    monkeypatch.setattr(pairs, "FEW", 4)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.choice([1, 3, 5, 6, 7, 70])))
+    words = [word() for _ in range(60)] + ["a" * 90, "ab" * 40]
+    rows = [(c, t, sorted(set(rng.sample(words, rng.randint(0, 12)))), rng.random(), rng.random()) for c in (1, 2) for t in range(25 if c == 1 else 3)]
+    df = spark.createDataFrame([(c, t, w, " ".join(w), [x, y]) for c, t, w, x, y in rows], "c long, t long, w array<string>, s string, v array<double>")
+    both = {(c, t, u): (w, x) for c, t, w, *_ in rows for d, u, x, *_ in rows if c == d and t < u}
+    found = pairs.soft_jaccard_pairs(df, ["c"], "t", "w").collect()
+    assert {(r.c, r.t_a, r.t_b): r.similarity for r in found} == {k: lexical.soft_jaccard(a, b) for k, (a, b) in both.items()} and len(found) == len(both)
+    told = {r.c: r for r in pairs.text_measures(df, ["c"], "t", "v", "s").collect()}
+    for c in (1, 2):
+        lex = [ratio(" ".join(a), " ".join(b)) for k, (a, b) in both.items() if k[0] == c]
+        assert (told[c].pairs, told[c].avg_lex, told[c].max_lex) == (len(lex), pytest.approx(np.mean(lex)), max(lex))
