@@ -22,7 +22,7 @@ select source, token, n, docs, round(share, 6) as share, round(docs / group_docs
 from r join s using (source) where rank <= 20""")
 def token_top_by_group(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    coverage = D.token_coverage(docs, ["source"], words(F.col("text")))
+    coverage = materialize(D.token_coverage(docs, ["source"], words(F.col("text"))), "token-coverage")  # totals and ranks read it
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("group_docs"))
     return D.top_tokens(coverage, sizes, ["source"], 20).withColumns({"share": six("share"), "coverage": six("coverage")})
 
