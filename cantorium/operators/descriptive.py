@@ -99,11 +99,15 @@ def lift(group: DataFrame, scope: DataFrame, group_sizes: DataFrame, scope_docs:
 
 def vocabulary_overlap(coverage: DataFrame, group: str, k: int) -> DataFrame:
     """For every pair of groups the sizes of intersection, union and Jaccard of their vocabularies, also of their k most frequent tokens."""
-    top = ranked_counts(coverage.select(group, "token", "n"), [group], "token", k).select(group, "token", F.lit(True).alias("top"))
-    words = coverage.select(group, "token").join(top, [group, "token"], "left").select(group, "token", F.coalesce("top", F.lit(False)).alias("top"))
-    sizes = words.groupBy(group).agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("top").cast("long")).alias("top_size"))
-    a, b = words.select(F.col(group).alias("a"), "token", F.col("top").alias("ta")), words.select(F.col(group).alias("b"), "token", F.col("top").alias("tb"))
-    shared = a.join(b, "token").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum((F.col("ta") & F.col("tb")).cast("long")).alias("top_common"))
+    counts = coverage.select(group, "token", "n").filter(F.col(group).isNotNull())
+    top = materialize(ranked_counts(likely(counts, [group], k), [group], "token", k).select(group, "token", F.lit(True).alias("top")), "top-tokens")
+    words = counts.select(group, "token").join(top, [group, "token"], "left").select("token", F.struct(F.col(group).alias("g"), F.coalesce("top", F.lit(False)).alias("top")).alias("one"))
+    held = words.groupBy("token").agg(F.sort_array(F.collect_list("one")).alias("held")).groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(held, "token-groups")  # tokens of the same groups count together
+    ones = held.select("n", "held", F.explode("held").alias("x"))
+    sizes = ones.groupBy(F.col("x.g").alias(group)).agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("x.top").cast("long")).alias("top_size"))
+    both = ones.select("n", "x", F.explode("held").alias("y")).filter(F.col("x.g") < F.col("y.g"))
+    shared = both.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.sum("n").alias("common"), F.sum(F.col("n") * (F.col("x.top") & F.col("y.top")).cast("long")).alias("top_common"))
     left, right = (sizes.select(F.col(group).alias(x), F.col("size").alias(f"size_{x}"), F.col("top_size").alias(f"top_{x}")) for x in "ab")
     pairs = left.join(right, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").na.fill(0, ["common", "top_common"])
     union, top_union = F.col("size_a") + F.col("size_b") - F.col("common"), F.col("top_a") + F.col("top_b") - F.col("top_common")
