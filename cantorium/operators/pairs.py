@@ -33,10 +33,11 @@ def between(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
     return left.join(right, block)
 
 
-#: Rows of a part at most; a block of more than LEAST_PART rows is dealt into up to PARTS parts, so that its meetings spread.
-PART, LEAST_PART, PARTS = 16_384, 1024, 6
-#: Rows of a part that meet the other part at a time, and pairs of a batch that leaves a task.
-ROWS, BATCH = 256, 1 << 17
+#: Rows of a part, and components of its vectors, at most; a block of more than LEAST_PART rows is dealt into up to PARTS parts, so that its meetings
+#: spread. A row goes to as many tasks as its block has parts, so large parts keep down what is shuffled.
+PART, COMPONENTS, LEAST_PART, PARTS = 65_536, 8 << 20, 1024, 6
+#: Rows of a part that meet the other part at a time, cosines held then, and pairs of a batch that leaves a task.
+ROWS, CELLS, BATCH = 256, 1 << 22, 1 << 17
 
 
 class Side:
@@ -63,12 +64,13 @@ class Meeting:
         self.left, self.right = left, right
 
     def _products(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
-        for at in range(0, len(self.left.x), ROWS):
-            x = self.left.x[at : at + ROWS]
+        step = max(1, min(ROWS, CELLS // max(1, len(self.right.x))))
+        for at in range(0, len(self.left.x), step):
+            x = self.left.x[at : at + step]
             if self.left is not self.right:
                 yield at, 0, x @ self.right.x.T, None
             else:  # rows before `at` have met these already
-                yield at, at, x @ self.right.x[at:].T, self.left.ids[at : at + ROWS, None] < self.right.ids[None, at:]
+                yield at, at, x @ self.right.x[at:].T, self.left.ids[at : at + step, None] < self.right.ids[None, at:]
 
     def values(self) -> Iterator[np.ndarray]:
         """The cosines of all pairs, piece by piece."""
@@ -132,7 +134,8 @@ def _ready(df: DataFrame, block: list[str], key: str, vector: str | None, more:
 
 def _parts(part: int) -> Column:
     size = F.count(F.lit(1))
-    return F.greatest(F.ceil(size / part), F.least(F.ceil(size / LEAST_PART), F.lit(PARTS)), F.lit(1)).cast("int")
+    most = F.greatest(F.least(F.lit(part), F.floor(F.lit(COMPONENTS) / F.greatest(F.max(F.size("__v")), F.lit(1)))), F.lit(1))
+    return F.greatest(F.ceil(size / most), F.least(F.ceil(size / LEAST_PART), F.lit(PARTS)), F.lit(1)).cast("int")
 
 
 def _with_parts(rows: DataFrame, many: DataFrame, block: list[str], blocks: int) -> DataFrame:
@@ -149,7 +152,7 @@ def _part(name: str) -> Column:
     return F.pmod(F.xxhash64("__id"), F.col(name)).cast("int")
 
 
-def met(df: DataFrame, block: list[str], key: str, vector: str | None, judge: Judge, schema: str, carry: list[str] | None = None, told: list[str] | None = None, part: int = PART) -> DataFrame:
+def met(df: DataFrame, block: list[str], key: str, vector: str | None, judge: Judge, schema: str, carry: list[str] | None = None, told: list[str] | None = None, part: int | None = None) -> DataFrame:
     """What judge() yields, as columns of `schema` after the block's, of all pairs of different keys in a block (or of all rows, without one).
 
     A block of many rows is dealt into parts; every two parts, and each part with itself, meet in a task by matrix products, so a task
@@ -158,7 +161,7 @@ def met(df: DataFrame, block: list[str], key: str, vector: str | None, judge: Ju
     """
     carry, told = carry or [], told or []
     rows = _ready(df, block, key, vector, [*carry, *told])
-    many = rows.groupBy(*block).agg(_parts(part).alias("__parts"))
+    many = rows.groupBy(*block).agg(_parts(part or PART).alias("__parts"))
     shape = many.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.expr("__parts * (__parts + 1) div 2")).alias("meetings")).first()
     rows = _with_parts(rows, many, block, shape.blocks).withColumn("__part", _part("__parts")).withColumn("__other", _all("__parts"))
     rows = rows.withColumns({"__p": F.least("__part", "__other"), "__q": F.greatest("__part", "__other")})
